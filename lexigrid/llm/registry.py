@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import line_dedup, mixing, packing, quality, simhash
+from lexigrid.llm import ann, chat, html_templates, line_dedup, mixing, packing, quality, simhash, token_store, winnow
 from lexigrid.llm.common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_shards(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.winnow(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,10 +51,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_simhash_near_dedup, op4_best_fit_packing, op8_quality_classifier, op9_mix_sources, op10_line_dedup]
+    own = [op1_nearest_neighbours, op2_simhash_near_dedup, op3_token_shards, op4_best_fit_packing, op5_html_text, op6_winnowing, op7_chat_perspectives, op8_quality_classifier, op9_mix_sources, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """None for 1 to 6 and 8: they are compared with brute force in tests/llm."""
-    return {"op9_mix_sources": mixing.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
+    return {"op7_chat_perspectives": chat.oracle_sql(), "op9_mix_sources": mixing.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
