@@ -224,13 +224,16 @@ def nearest(
     first = saved(data.groupBy("cell").applyInPandas(own, "id bigint, v array<float>, bound double, who array<bigint>, best array<double>, targets array<int>"), "own-cells")
     guests = first.select("id", "v", "bound", F.explode("targets").alias("cell"))
 
+    def lists(ids: np.ndarray, who: list, best: list) -> pd.DataFrame:
+        return pd.DataFrame({"id": ids, "who": pd.Series(who, dtype=object), "best": pd.Series(best, dtype=object)})
+
     def visit(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(hosts):
-            return pd.DataFrame({"id": [], "who": [], "best": []})
+            return lists(np.zeros(0, np.int64), [], [])
         tree = Tree(hosts["id"].to_numpy(), _array(hosts["v"], dim), projection)
         who, best = tree.search(guests["id"].to_numpy(), _array(guests["v"], dim), k, factor, guests["bound"].to_numpy())
         some = np.isfinite(best[:, 0])
-        return pd.DataFrame({"id": guests["id"][some], "who": list(who[some]), "best": list(best[some])})
+        return lists(guests["id"].to_numpy()[some], list(who[some]), list(best[some]))
 
     second = guests.groupBy("cell").cogroup(data.groupBy("cell")).applyInPandas(visit, "id bigint, who array<bigint>, best array<double>")
     found = first.select("id", "who", "best").unionByName(second).select("id", F.zip_with("best", "who", lambda b, w: F.struct(b.alias("d"), w.alias("w"))).alias("c"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a Python worker holds as arrays at once; longer texts are taken alone, whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers take texts in batches of at most 4 MB and 2,000 rows, unless the session has less: texts are long,
+    and a worker holds several batches in several forms."""
+    for name, most in (("maxBytesPerBatch", 4 << 20), ("maxRecordsPerBatch", 2000)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        size = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else -1
+        if size <= 0 or size > most:
+            spark.conf.set(key, str(most))
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs as one struct column `row_`, beside columns of the operator's own; so no name of docs can clash with them."""
     return docs.select(F.struct("*").alias("row_"), *(c.alias(k) for k, c in columns.items()))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import saved
+from lexigrid.llm.common import saved, small_batches
 
 #: A subtree is template if so many pages of its host hold it.
 MIN_PAGES = 10
@@ -182,6 +182,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_C
     empty result. Broken markup is mended; pages of any length and depth are read whole. Other columns aren't read.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     templates = saved(template_hashes(pages, min_pages, min_chars), "templates")
     schema = "page_id string, host string, text string, n_removed int"
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import chunks, packed, saved
+from lexigrid.llm.common import chunks, packed, saved, small_batches
 from lexigrid.llm.lookup import Lookup
 
 ORDER = 5
@@ -64,7 +64,7 @@ def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b in chunks(texts):
                 u, c = np.unique(grams(texts[a:b])[0], return_counts=True)
                 waiting.append((u, c if trusted else np.zeros(len(c), np.int64)))
-                if sum(len(w[0]) for w in waiting) > 2_000_000:
+                if sum(len(w[0]) for w in waiting) > 500_000:
                     keys, counts = merged()
                     waiting = []
     keys, counts = merged()
@@ -174,6 +174,7 @@ def _by_block(rows: DataFrame, p: DataFrame) -> DataFrame:
 def _score(docs: DataFrame, labels: DataFrame, quantile: float, broadcast_grams: int) -> tuple[DataFrame, DataFrame, float | None, Callable[[DataFrame], DataFrame]]:
     """The scores (id, lang_, bytes, nll, trusted), thresholds of nll by language, that of all, and what adds nll to rows with a text."""
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").alias("lang_"), "text")
     marked = _trusted(narrow, labels)
     table = marked.where("text IS NOT NULL AND text != ''").select("text", "trusted").mapInPandas(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))

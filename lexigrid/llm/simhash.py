@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import U64, mix, packed, saved
+from lexigrid.llm.common import U64, mix, packed, saved, small_batches
 from lexigrid.llm.words import word_hashes
 
 RADIUS = 12
@@ -172,6 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame, radius: int, radius_all: int) -> DataFrame:
     """(id, t, grp, nth): each row's group, null if it has no words, and its place in the group by doc_id."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("t"), "text")
     known = rows.select(F.col("id").cast("string").alias("id"), "t", "text").mapInPandas(_signed, "id string, t bigint, wordy boolean, " + ", ".join(f"{c} bigint" for c in WORDS))
     signed = saved(known.select(F.col("id").cast("bigint").alias("id"), "t", "wordy", *WORDS, F.when(F.col("wordy"), F.xxhash64(*WORDS)).alias("sid")), "signatures")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import U64, mix
+from lexigrid.llm.common import U64, mix, small_batches
 from lexigrid.llm.lookup import place
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -191,6 +191,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str = TOKENIZER, shard_docs: i
     Of rows with the same doc_id the one with most ids is kept, of equals that with the least bytes; so repeated rows are
     stored once. An empty table gives an empty result. Texts of any length are encoded whole. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     shards = shards or max(1, -(-docs.count() // shard_docs))
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

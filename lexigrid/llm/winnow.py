@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import U64, Powers, chunks
+from lexigrid.llm.common import Powers, chunks, small_batches
 
 #: No match under NOISE letters and digits is found; every match of NOISE + WINDOW - 1 is.
 NOISE = 24
@@ -43,7 +43,7 @@ def fingerprints(texts: list[str | None], noise: int = NOISE, window: int = WIND
     coded = [t.encode("utf-32-le", "surrogatepass") for t in raw]
     empty = (np.zeros(0, np.int32), np.zeros(0, np.int64))
     out = [empty] * len(texts)
-    for first, last in chunks(coded, 4 << 20):
+    for first, last in chunks(coded, 1 << 20):
         points = np.frombuffer(b"".join(coded[first:last]), np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded[first:last]])])
         place = np.flatnonzero(_alnum()[points])
@@ -74,6 +74,7 @@ def winnow(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) -> DataFra
     arrays; one with fewer than window k-grams has its least. Repeated rows are fingerprinted each for itself. An empty table
     gives an empty result. Texts of any length are read whole. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     if noise < 1 or window < 1:
         raise ValueError("noise and window must be at least 1")
 
