@@ -20,11 +20,13 @@ from lexigrid.llm.common import saved
 
 K = 10
 DIMENSIONS = 8
-CONFIDENCE = 0.95
+CONFIDENCE = 0.8
 #: Vectors of a cell (one task's tree), as a mean; cells grow beyond MAX_CELLS, whose boxes every task holds.
-CELL = 4096
+CELL = 8192
 MAX_CELLS = 20_000
 LEAF = 32
+#: Queries and leaves that are verified by one product.
+_QUERIES, _LEAVES = 128, 16
 #: Rows that place the cells' borders. They are layout alone: boxes are those of all rows, and every row is searched.
 BORDER_ROWS = 65_536
 SEED = 7
@@ -123,7 +125,6 @@ class Tree:
         order = np.concatenate(leaves)
         self.ids, self.vectors = ids[order], vectors[order]
         self.start = np.concatenate([[0], np.cumsum([len(r) for r in leaves])])
-        self.width = int(np.diff(self.start).max())
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of each query's k nearest here, by (distance, id), filled up with (-1, inf); without the
@@ -131,36 +132,47 @@ class Tree:
         n = len(q)
         best = np.full((n, k), np.inf)
         who = np.full((n, k), -1, np.int64)
-        for a in range(0, n, 256):
-            part = slice(a, min(n, a + 256))
+        for a in range(0, n, _QUERIES):
+            part = slice(a, min(n, a + _QUERIES))
             self._search(q_ids[part], q[part], k, factor, np.full(part.stop - a, np.inf) if bound is None else bound[part], best[part], who[part])
         return who, best
 
     def _search(self, q_ids, q, k, factor, bound, best, who) -> None:
+        """Some queries at a time, so that a leaf's vectors are verified for all of them by one product of matrices. Leaves
+        come in the order of their least distance from any of the queries, and are skipped where every query's search has
+        ended; each query's test is its own."""
         far = box_distances(q @ self.projection, self.low, self.high)
-        order = np.argsort(far, axis=1, kind="stable")
-        far = np.take_along_axis(far, order, axis=1)
-        active = np.arange(len(q))
-        for step in range(order.shape[1]):
+        order = np.argsort(far.min(axis=0), kind="stable")
+        own = (q * q).sum(axis=1)
+        for at in range(0, len(order), _LEAVES):
+            leaves = order[at : at + _LEAVES]
             # The stopping test: a vector within the k-th distance would lie beyond this leaf's distance too rarely.
-            active = active[far[active, step] <= factor * np.minimum(best[active, k - 1], bound[active])]
-            if not len(active):
-                return
-            leaf = order[active, step]
-            rows = self.start[leaf, None] + np.arange(self.width)[None, :]
-            real = rows < self.start[leaf + 1, None]
-            rows = np.minimum(rows, len(self.ids) - 1)
-            ids = self.ids[rows]
-            diff = self.vectors[rows] - q[active, None, :]
-            d = np.einsum("ijk,ijk->ij", diff, diff)
-            d[~real | (ids == q_ids[active, None])] = np.inf
-            use = (d <= np.minimum(best[active, k - 1], bound[active])[:, None]).any(axis=1)
-            if not use.any():
+            worst = np.minimum(best[:, k - 1], bound)
+            leaves = leaves[(far[:, leaves] <= factor * worst[:, None]).any(axis=0)]
+            if not len(leaves):
                 continue
-            who_now = np.concatenate([who[active[use]], ids[use]], axis=1)
-            d_now = np.concatenate([best[active[use]], d[use]], axis=1)
-            first = np.lexsort((who_now, d_now), axis=1)[:, :k]
-            best[active[use]], who[active[use]] = np.take_along_axis(d_now, first, axis=1), np.take_along_axis(who_now, first, axis=1)
+            rows = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in leaves])
+            x, ids = self.vectors[rows], self.ids[rows]
+            rough = own[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+            slack = 1e-9 * (own[:, None] + 1)  # rounding of the product; what passes is measured again
+            i, j = np.nonzero((rough <= worst[:, None] + slack) & (ids[None, :] != q_ids[:, None]))
+            if len(i) > 4 * k * len(q):  # at first everything passes: keep what can be among the k nearest of these leaves
+                kth = np.partition(np.where(ids[None, :] != q_ids[:, None], rough, np.inf), min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+                near = rough[i, j] <= kth[i] + slack[i, 0]
+                i, j = i[near], j[near]
+            diff = x[j] - q[i]
+            d = (diff * diff).sum(axis=1)
+            ok = d <= worst[i]
+            i, j, d = i[ok], j[ok], d[ok]
+            if not len(i):
+                continue
+            some = np.unique(i)
+            row = np.concatenate([np.repeat(some, k), i])
+            dist, name = np.concatenate([best[some].ravel(), d]), np.concatenate([who[some].ravel(), ids[j]])
+            sort = np.lexsort((name, dist, row))
+            row, dist, name = row[sort], dist[sort], name[sort]
+            first = np.searchsorted(row, some)[:, None] + np.arange(k)[None, :]
+            best[some], who[some] = dist[first], name[first]
 
 
 def _array(column: pd.Series, dim: int) -> np.ndarray:
