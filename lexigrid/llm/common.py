@@ -82,6 +82,9 @@ class Powers:
         self.up = np.ones(1, dtype=U64)
         self.down = np.ones(1, dtype=U64)
 
+    def __getstate__(self) -> dict:
+        return {"up": np.ones(1, dtype=U64), "down": np.ones(1, dtype=U64)}  # workers grow their own
+
     def grow(self, n: int) -> None:
         if n <= len(self.up):
             return
