@@ -1 +1,8 @@
 """Inverted-index search on Spark DataFrames: postings, conjunctive search, ranking, paging and ingest."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +76,19 @@ def has_phrase(terms: Terms) -> Column:
     local = terms.local_rank()
     for attr, vector in terms.ivec.items():
         by_rank = {r: t for (a, t), r in local.items() if a == attr}
-        lists = [F.element_at(F.filter("indexes", lambda x, t=by_rank[r]: (x["attr"] == attr) & (x["term"] == t)), 1)["positions"] for r in vector]
-        out &= F.exists(lists[0], lambda p: _all([F.array_contains(other, p + i) for i, other in enumerate(lists[1:], 1)]))
+        lists = [_positions(attr, by_rank[r]) for r in vector]
+        out &= F.exists(lists[0], _followed(lists[1:]))
     return out
 
 
+def _positions(attr: str, term: str) -> Column:
+    return F.element_at(F.filter("indexes", lambda x: (x["attr"] == attr) & (x["term"] == term)), 1)["positions"]
+
+
+def _followed(others: list[Column]) -> Callable[[Column], Column]:
+    return lambda p: _all([F.array_contains(other, p + i) for i, other in enumerate(others, 1)])
+
+
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
