@@ -12,7 +12,7 @@ BREAK = r"[^\p{L}\p{N}]+"
 HOST = r"(\w+)(\.\w+)+(:\d+)?"
 URL = HOST + r"(/+\w+)+"
 MAIL = r"(\w+)([.!\-_+]\w+)*@(\w+)([.!\-_+]\w+)*"
-ADDRESS = r"([^@|\s]+@[^@]+\.[^@|\s]+)"
+ADDRESS = r"([^@|\s]+@[^@\s]+\.[^@|\s]+)"
 
 
 def words(text: Column) -> Column:

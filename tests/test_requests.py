@@ -1,0 +1,52 @@
+import json
+
+import pytest
+
+from lexigrid.config import EngineConfig
+from lexigrid.functions.timestamps import pack_py, unpack_py
+from lexigrid.plans.request import BadRequest, Cookie, SearchRequest, Terms, attributes, parse_command
+
+
+def test_terms_keep_order_and_repeat_by_rank():
+    t = Terms.of({"text": "a b A c", "src": "b", "none": "..."})
+    assert t.lists == (("text", "a"), ("text", "b"), ("text", "c"), ("src", "b"))
+    assert t.ivec == {"text": (0, 1, 0, 2), "src": (0,)}
+
+
+def test_compat_vector_mixes_positions_and_places():
+    assert Terms.of({"text": "a b a c"}, compat_ivec=True).ivec["text"] == (0, 1, 0, 3)
+    assert Terms.of({"text": "a a b"}, compat_ivec=True).ivec["text"] == (0, 0, 2)
+
+
+@pytest.mark.parametrize("text", ["{", "[]", "{}", '{"mailbox": 5, "query": {}}', '{"mailbox": "m"}', '{"mailbox": "m", "query": "q"}'])
+def test_bad_requests(text):
+    with pytest.raises(BadRequest):
+        SearchRequest.from_json(text)
+
+
+def test_request_round_trip():
+    r = SearchRequest.from_json('{"mailbox": "m", "query": {"text": "x", "n": 5}, "paging": {"num": 3, "start": "7:a:b"}, "match": {"type": "phrase"}}')
+    assert (r.query, r.num, r.cookie, r.match) == ({"text": "x"}, 3, Cookie(7, "a:b"), "phrase")
+    assert SearchRequest.from_json(r.to_json()) == r
+    assert json.loads(SearchRequest("m", {}).to_json()) == {"mailbox": "m", "query": {}}
+
+
+def test_cookie():
+    assert Cookie.parse("") is None
+    assert str(Cookie(-3, "x")) == "-3:x" and Cookie.parse("-3:x") == Cookie(-3, "x")
+    with pytest.raises(BadRequest):
+        Cookie.parse("abc")
+
+
+def test_command_line():
+    assert parse_command("hello attr:to:me@x.y world attr:nocolon") == {"to": "me@x.y", "text": "hello world"}
+    assert attributes(["a:1:2", "a:0", "b"], "") == {"a": "1:2"}
+
+
+def test_timestamps():
+    assert unpack_py(pack_py(1_700_000_000, 999_999_999)) == (1_700_000_000, 999_999_999)
+    assert pack_py(1, 999_999_999) < pack_py(2, 0)
+
+
+def test_config():
+    assert EngineConfig.from_json('{"shards": 4, "codec": 5, "read_only": true, "x": 1}') == EngineConfig(shards=4, read_only=True)
