@@ -19,10 +19,13 @@ from lexigrid.llm.common import chunks, packed, saved, small_batches
 from lexigrid.llm.lookup import Lookup
 
 ORDER = 5
-#: A language's threshold is this quantile of its trusted documents' perplexities.
+#: A language's threshold is this quantile of the perplexities of its trusted documents that the model wasn't trained on.
 QUANTILE = 0.995
-#: Languages with fewer trusted documents than this use the threshold of all languages together.
-MIN_TRUSTED = 20
+#: One trusted document in so many, by hash of its doc_id, is held out of training for the thresholds: a model finds its own
+#: training text too easy, so thresholds taken from that would reject good documents.
+HOLD_OUT = 5
+#: Languages with fewer held-out documents than this use the threshold of all languages together.
+MIN_HELD_OUT = 20
 #: Rows of the scored n-gram table that are broadcast at most (16 bytes each); above, texts are shuffled to them by block.
 BROADCAST_GRAMS = 4_000_000
 #: doc_ids of trusted documents that are broadcast at most; above, they are joined by shuffle.
@@ -73,11 +76,12 @@ def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with `trusted`: whether labels has quality 1 and doesn't call it toxic, for its doc_id. Two columns of it may be used: id, trusted."""
+    """docs (id, ...) with `trusted`: whether labels has quality 1 and doesn't call it toxic; and `held`: whether it is held out."""
     ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id")).distinct().withColumn("hit", F.lit(True))
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "id", "left").withColumn("trusted", F.coalesce("hit", F.lit(False))).drop("hit")
+    marked = docs.join(ids, "id", "left").withColumn("trusted", F.coalesce("hit", F.lit(False))).drop("hit")
+    return marked.withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("id"), F.lit(HOLD_OUT)) == 0))
 
 
 def discounts(n: dict[int, int]) -> tuple[float, float, float]:
@@ -172,23 +176,25 @@ def _by_block(rows: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def _score(docs: DataFrame, labels: DataFrame, quantile: float, broadcast_grams: int) -> tuple[DataFrame, DataFrame, float | None, Callable[[DataFrame], DataFrame]]:
-    """The scores (id, lang_, bytes, nll, trusted), thresholds of nll by language, that of all, and what adds nll to rows with a text."""
+    """The scores (id, lang_, bytes, nll, trusted, held), thresholds of nll by language, that of all, and what adds nll to rows with a text."""
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").alias("lang_"), "text")
     marked = _trusted(narrow, labels)
-    table = marked.where("text IS NOT NULL AND text != ''").select("text", "trusted").mapInPandas(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    table = marked.where("text IS NOT NULL AND text != ''").select("text", (F.col("trusted") & ~F.col("held")).alias("trusted")).mapInPandas(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
     p = kneser_ney(saved(table, "grams"))
 
     def scored(rows: DataFrame) -> DataFrame:
         return _by_broadcast(spark, rows, p) if p.count() <= broadcast_grams else _by_block(rows, p)
 
-    scores = scored(marked).select("id", "lang_", F.octet_length("text").alias("bytes"), "nll", "trusted")
+    scores = scored(marked).select("id", "lang_", F.octet_length("text").alias("bytes"), "nll", "trusted", "held")
     scores = saved(scores, "scores")
-    trusted = scores.where("trusted AND nll IS NOT NULL")
-    cut = lambda: F.percentile("nll", F.lit(quantile)).alias("cut")
-    by_lang = trusted.groupBy("lang_").agg(cut(), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED).select("lang_", "cut")
-    overall = trusted.agg(cut()).first()["cut"]
+    judged = scores.where("trusted AND nll IS NOT NULL")
+    cut = F.percentile("nll", F.lit(quantile)).alias("cut")
+    by_lang = judged.where("held").groupBy("lang_").agg(cut, F.count("*").alias("n")).where(F.col("n") >= MIN_HELD_OUT).select("lang_", "cut")
+    overall, held = judged.where("held").agg(cut, F.count("*")).first()
+    if held < MIN_HELD_OUT:  # too few anyway: all trusted ones
+        overall = judged.agg(cut).first()["cut"]
     return scores, by_lang, overall, scored
 
 
@@ -205,7 +211,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     quality 1 and not toxic 1). A document is rejected if it exceeds the threshold of its language.
 
     Nulls: a null or empty text has no perplexity and is rejected. A null lang is a language of its own; languages with
-    under MIN_TRUSTED trusted documents, and unknown ones, use the threshold of all. A null doc_id is never trusted. A
+    under MIN_HELD_OUT held-out documents, and unknown ones, use the threshold of all. A null doc_id is never trusted. A
     perplexity equal to the threshold is kept. Repeated rows are counted and judged each for itself; repeated labels count
     once. An empty table gives an empty result; without trusted text there are no thresholds and every text that isn't
     empty is kept. Texts of any length are read whole. Other columns aren't read.

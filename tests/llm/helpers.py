@@ -1,0 +1,32 @@
+"""Small tables with everything that can be awkward."""
+
+from __future__ import annotations
+
+import random
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Names that operators use themselves.
+CLASHING = ["row_", "t", "n", "h", "id", "src", "part", "cum", "vft", "rank", "nth", "grp", "keep", "drop", "nll", "cut", "hit", "trusted", "bin_id", "shard", "text_", "l_", "lang_", "g"]
+
+
+def words(rng: random.Random, n: int, alphabet: str = "abcdefgh") -> str:
+    return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def documents(spark, rows, clash: bool = False):
+    """rows: (doc_id, text, lang, source)"""
+    df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], DOCS)
+    if clash:
+        from pyspark.sql import functions as F
+
+        df = df.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    return df
+
+
+def awkward(rng: random.Random):
+    """Null and empty texts, null ids, languages and sources, repeated rows, equal ids, a very long text."""
+    base = [(i, words(rng, rng.randint(3, 40)), "en", f"s{i % 4}") for i in range(30)]
+    return base + [
+        (100, None, "en", "s0"), (101, "", "en", "s0"), (102, " \n\t ", "en", "s1"), (None, words(rng, 9), "en", "s1"), (103, words(rng, 9), None, "s2"), (104, words(rng, 9), "en", None),
+        (105, "same row", "en", "s3"), (105, "same row", "en", "s3"), (106, words(rng, 5), "en", "s0"), (106, words(rng, 6), "en", "s1"), (107, words(rng, 60_000), "de", "s2"), (108, "x", "en", "s2"), (None, None, None, None),
+    ]

@@ -1,0 +1,98 @@
+import random
+
+import numpy as np
+
+from lexigrid.llm import simhash
+from lexigrid.llm.words import word_hashes
+
+from .helpers import CLASHING, awkward, documents, words
+
+
+def brute_groups(texts, radius=simhash.RADIUS, radius_all=simhash.RADIUS_ALL):
+    s = [simhash.signature(w) for w in word_hashes(texts)]
+    wordy = [len(w) > 0 for w in word_hashes(texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if wordy[i] and wordy[j]:
+                d = [bin(int(a) ^ int(b)).count("1") for a, b in zip(s[i], s[j])]
+                if d[0] <= radius and sum(d) <= radius_all:
+                    a, b = group[i], group[j]
+                    group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+def edited(rng, text, rate):
+    return " ".join(words(rng, 1) if rng.random() < rate else w for w in text.split())
+
+
+def corpus(seed=3):
+    rng = random.Random(seed)
+    texts = [words(rng, rng.randint(60, 200)) for _ in range(60)]
+    for t in texts[:10]:
+        texts += [edited(rng, t, 0.04) for _ in range(rng.randint(1, 6))]
+    texts += [texts[20].upper(), texts[20], texts[21] + "!!"]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_words():
+    a, b, c = word_hashes(["One, two!two", "ONE\n two", None])
+    assert a[0] == b[0] and a[1] == a[2] == b[1] and len(b) == 2 and len(c) == 0
+    long = word_hashes(["word " * 300_000])[0]
+    assert len(long) == 300_000 and len(np.unique(long)) == 1
+    assert len(word_hashes(["Été Ω"])[0]) == 2
+
+
+def test_tiles_find_every_pair():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**63, (700, 4), dtype=np.uint64)
+    x[400:] = x[:300] ^ np.uint64(5)
+    a, b = simhash.near_pairs(x, None, 12, 60)
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if np.bitwise_count(x[i, 0] ^ x[j, 0]) <= 12 and np.bitwise_count(x[i] ^ x[j]).sum() <= 60}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) >= 300
+    a, b = simhash.near_pairs(x[:350], x[350:], 12, 60)
+    assert set(zip(a.tolist(), (b + 350).tolist())) == {p for p in want if p[0] < 350 <= p[1]}
+
+
+def test_tiles_skip_by_bit_count():
+    low, high = np.zeros((5, 4), np.uint64), np.full((5, 4), 2**64 - 1, np.uint64)
+    assert len(simhash.near_pairs(low, high, 12, 256)[0]) == 0 and len(simhash.near_pairs(low, high, 64, 256)[0]) == 25
+
+
+def test_groups_against_brute_force(spark):
+    texts = corpus()
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = brute_groups(texts)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == len(texts) and len(set(want)) < len(texts) - 20
+    for i, g in enumerate(want):
+        assert got[i]["group_id"] == g and got[i]["keep"] == (i == g) and got[i]["group_size"] == want.count(g)
+    kept = simhash.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (95, 100), (7, 7)], "a bigint, b bigint")
+    got = dict(map(tuple, simhash.components(edges).collect()))
+    assert all(got[i] == 0 for i in range(1, 41)) and got[100] == got[95] == 90
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
+def test_awkward(spark):
+    rows = awkward(random.Random(1))
+    docs = documents(spark, rows, clash=True)
+    out = simhash.near_duplicates(docs).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert all(r["keep"] and r["group_size"] == 1 for i in (100, 101, 102) for r in by[i])
+    assert sorted(r["keep"] for r in by[105]) == [False, True]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(105) == 1 and ids.count(106) == 2 and ids.count(None) == 2 and len(ids) == len(rows) - 1
+    assert all(r["grp"] == "own grp" for r in kept.collect())
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+    assert len(CLASHING) > 5
