@@ -32,7 +32,7 @@ def index_meta(postings: DataFrame) -> DataFrame:
 
 def store_meta(store: PostingStore) -> DataFrame:
     """index_meta of a store, with the number of files that hold a list and when the store last changed."""
-    files = store.stored().select("mailbox", "attr", "term", F.col("_metadata.file_path").alias("file")).groupBy("mailbox", "attr", "term").agg(F.countDistinct("file").alias("num_files"))
+    files = store.stored(file=True).groupBy("mailbox", "attr", "term").agg(F.countDistinct("file").alias("num_files"))
     gens = store.generations()
     last = max(((g["sec"], g["nsec"]) for g in gens), default=(0, 0))
     return index_meta(store.read()).join(files, ["mailbox", "attr", "term"], "left").withColumns({"generation_sec": F.lit(last[0]).cast("bigint"), "generation_nsec": F.lit(last[1]).cast("bigint")})
@@ -40,7 +40,7 @@ def store_meta(store: PostingStore) -> DataFrame:
 
 def pages(store: PostingStore) -> DataFrame:
     """(file, num_keys, first, last): what each file of a store holds."""
-    rows = store.stored().select(F.col("_metadata.file_path").alias("file"), F.struct("mailbox", "attr", "term", "ts", "id").alias("k"))
+    rows = store.stored(file=True).select("file", F.struct("mailbox", "attr", "term", "ts", "id").alias("k"))
     return rows.groupBy("file").agg(F.count("*").alias("num_keys"), F.min("k").alias("first"), F.max("k").alias("last"))
 
 

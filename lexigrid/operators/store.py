@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.config import EngineConfig
 from lexigrid.schema import IDENTITY, POSTINGS, STORED
@@ -127,12 +128,15 @@ class PostingStore:
 
     # -- reads ---------------------------------------------------------------------------------------------------------
 
-    def stored(self, terms: list[str] | None = None) -> DataFrame:
-        """All stored rows in force, replaced ones included; with terms only their shards' directories are read."""
+    def stored(self, terms: list[str] | None = None, file: bool = False) -> DataFrame:
+        """All stored rows in force, replaced ones included; with terms only their shards' directories are read. file: with
+        the path of each row's file."""
         gens = self.generations()
         if not gens:
-            return self.spark.createDataFrame([], STORED)
+            return self.spark.createDataFrame([], T.StructType([*STORED.fields, T.StructField("file", T.StringType())]) if file else STORED)
         parts = [self.spark.read.schema(STORED).option("basePath", f"{self.path}/data/gen={g['gen']}").parquet(f"{self.path}/data/gen={g['gen']}") for g in gens]
+        if file:  # a union has no metadata column
+            parts = [p.select("*", F.col("_metadata.file_path").alias("file")) for p in parts]
         rows = reduce(DataFrame.unionByName, parts)
         if terms is not None:
             rows = rows.where(F.col("shard").isin(sorted({shard_of(t, self._shards()) for t in terms})) & F.col("term").isin(list(terms)))

@@ -5,21 +5,24 @@ documents: the mailbox is lang, the id doc_id, attributes are text and source, t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
-from lexigrid.functions.timestamps import nanoseconds, pack, pack_py, seconds
+from lexigrid.functions.timestamps import nanoseconds, pack, pack_py, rendered, seconds
 from lexigrid.operators import catalog
 from lexigrid.operators.intersect import count_matches, intersect, intersect_batch, intersect_by_joins
 from lexigrid.operators.paging import page, page_info, top_k
 from lexigrid.operators.postings import index_name, postings, shard_route, tokenize
 from lexigrid.operators.rank import has_phrase, ranked, relevance
-from lexigrid.operators.store import latest
+from lexigrid.operators.store import PostingStore, latest
 from lexigrid.plans.request import Cookie, Terms
 from lexigrid.schema import VALUES
+from lexigrid.sources import requests, stats, synthetic
 from lexigrid.sources.markup import html_words
 
 START = 1_700_000_000
@@ -183,6 +186,60 @@ def shard_routes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", shard_route(F.col("lang"), 16).alias("shard"))
 
 
+@_query(r"""SELECT doc_id, regexp_extract(translate(text, '<>",', '    '), '([^@|\s]+@[^@\s]+\.[^@|\s]+)', 1) AS address FROM documents WHERE contains(text, '@')""")
+def first_addresses(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
+    return rows.select("doc_id", F.coalesce(T.address(F.col("text")), F.lit("")).alias("address"))
+
+
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') AS shown FROM events")
+def rendered_times(spark, sf_dir):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ts = pack(F.floor(us / 1_000_000), F.pmod(us, F.lit(1_000_000)) * 1000)
+    return _table(spark, sf_dir, "events").select("event_id", rendered(ts).alias("shown"))
+
+
+def _request_lines(spark, sf_dir):
+    """documents as index requests in JSON, one each, beside an attribute that isn't text and an element that isn't valid."""
+    d = _table(spark, sf_dir, "documents")
+    one = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("bucket"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"), F.struct((F.lit(START) + F.col("doc_id")).alias("tsec"), F.lit(0).alias("tnsec")).alias("timestamp"), F.struct("text", "source", "n_chars").alias("index"))
+    text = F.to_json(F.struct(F.col("lang").alias("mailbox"), F.array(one).alias("docs")))
+    return d.select(F.replace(text, F.lit('"docs":['), F.lit('"docs":[{"bucket":""},')).alias("value"))
+
+
+@_query(f"WITH {_DOCS}, {_vals(('text', 'source'))} SELECT mailbox, id, bucket, key, ts, attr, value FROM vals WHERE value IS NOT NULL")
+def json_requests(spark, sf_dir):
+    """Index requests written as JSON and read again, judged element by element."""
+    return requests.values(requests.documents(_request_lines(spark, sf_dir), now=0))
+
+
+@_query("SELECT lang AS mailbox, CAST(2 AS INTEGER) AS docs, CAST(1 AS INTEGER) AS valid, CAST(200 AS INTEGER) AS status FROM documents")
+def request_outcomes(spark, sf_dir):
+    return requests.outcome(_request_lines(spark, sf_dir))
+
+
+@_query()
+def synthetic_messages(spark, sf_dir):
+    return synthetic.messages(spark, 1000, words=100)
+
+
+_MONITORS = "m AS (SELECT s_suppkey AS backend_id, s_nationkey AS grp, 1000 + s_suppkey % 7 * 100 AS size_limit, CAST(floor(abs(s_acctbal)) AS BIGINT) % 1500 AS used, s_suppkey AS records_total, s_nationkey AS records_removed FROM supplier)"
+
+
+@_query(f"WITH {_MONITORS} SELECT grp AS \"group\", CAST(sum(size_limit) AS BIGINT) AS size_limit, CAST(sum(used) AS BIGINT) AS used, CAST(sum(records_total) AS BIGINT) AS records_total, CAST(sum(records_removed) AS BIGINT) AS records_removed, count(*) AS backends FROM m WHERE size_limit > used AND records_total >= records_removed GROUP BY grp")
+def group_statistics(spark, sf_dir):
+    """Monitors' JSON, made of suppliers, by group."""
+    s = _table(spark, sf_dir, "supplier")
+    used = F.floor(F.abs("s_acctbal")) % 1500
+    backend = F.struct(
+        F.struct(F.col("s_nationkey").alias("group"), (1000 + F.col("s_suppkey") % 7 * 100).alias("blob_size_limit")).alias("config"),
+        F.struct(F.col("s_suppkey").alias("records_total"), F.col("s_nationkey").alias("records_removed"), used.alias("base_size")).alias("summary_stats"),
+        F.struct(F.lit(10).alias("blocks"), F.lit(4096).alias("frsize")).alias("vfs"),
+    )
+    line = F.to_json(F.struct(F.create_map(F.col("s_suppkey").cast("string"), F.struct(F.col("s_suppkey").alias("backend_id"), backend.alias("backend"))).alias("backends")))
+    return stats.by_group(stats.backends(s.select(line.alias("value")))).select(F.col("group").cast("int").alias("group"), "size_limit", "used", "records_total", "records_removed", "backends")
+
+
 # -- search ------------------------------------------------------------------------------------------------------------
 
 _TWO, _THREE = {"text": "the of"}, {"text": "the of and"}
@@ -348,3 +405,46 @@ def delete_postings(spark, sf_dir):
 
     rows = _changes(spark, sf_dir)
     return rows.select(*IDENTITY).distinct().join(latest(rows).select(*IDENTITY), IDENTITY, "left_anti")
+
+
+@_query(_base() + " SELECT 'id: ' || id || ', url: ' || bucket || ':' || key || ', ts: ' || (ts >> 30) || '.0, positions: ' || array_to_string(positions, ',') AS line FROM post WHERE mailbox = 'en' AND term = 'of'")
+def index_dump(spark, sf_dir):
+    return catalog.dump(_terms_only(spark, sf_dir, "en", Terms.of({"text": "of"})))
+
+
+# -- a stored index ----------------------------------------------------------------------------------------------------
+
+
+def _stored(spark, sf_dir) -> PostingStore:
+    """A store with all documents' sources in three generations: added, every seventh document removed, every fourteenth added
+    again under another key."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexigrid-")
+    store = PostingStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    own = postings(values(spark, sf_dir, ("source",)))
+    number = F.col("id").cast("bigint")
+    store.append(own)
+    store.delete(own.where(number % 7 == 0), report_missing=False)
+    store.append(own.where(number % 14 == 0).withColumn("key", F.lit("again")))
+    return store
+
+
+_STORED = ", kept AS (SELECT mailbox, attr, term, ts, id, bucket, CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN 'again' ELSE key END AS key FROM post WHERE CAST(id AS BIGINT) % 7 <> 0 OR CAST(id AS BIGINT) % 14 = 0)"
+
+
+@_query(_base("source") + _STORED + " SELECT * FROM kept")
+def store_latest(spark, sf_dir):
+    """Appended, removed and replaced postings as a reader sees them."""
+    return _stored(spark, sf_dir).read().drop("positions")
+
+
+@_query(_base("source") + _STORED + " SELECT * FROM kept")
+def store_compacted(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    store.compact()
+    store.vacuum()
+    return store.read().drop("positions")
+
+
+@_query(_base("source") + _STORED + " SELECT mailbox, attr, term, count(*) AS num_keys FROM kept GROUP BY mailbox, attr, term")
+def store_counters(spark, sf_dir):
+    return catalog.store_meta(_stored(spark, sf_dir)).select("mailbox", "attr", "term", "num_keys")

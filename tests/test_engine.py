@@ -47,7 +47,7 @@ def test_lenient_requests(spark):
 
 def test_life_of_an_index(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=4))
-    assert e.ping() and not e.store.exists() and e.search(SearchRequest("m", {"text": "a"})).docs == []
+    assert e.ping() and not e.store.exists() and e.page_files().count() == e.meta().count() == 0 and e.search(SearchRequest("m", {"text": "a"})).docs == []
     e.index_json(request(doc("d1", "a b", 1), doc("d2", "a c", 2), doc("d3", "a b", 3)))
     with pytest.raises(BadRequest):
         e.index_json(request({"id": "x"}))
@@ -70,6 +70,8 @@ def test_life_of_an_index(spark, tmp_path):
     keys = spark.createDataFrame([("m", "text", "a", pack_py(2), "d2"), ("m", "text", "a", 0, "none")], "mailbox string, attr string, term string, ts bigint, id string")
     assert [r["id"] for r in e.remove(keys).collect()] == ["none"]
     before = sorted(map(str, e.store.read().collect()))
+    assert sum(r["num_keys"] for r in e.page_files().collect()) == e.store.stored().count()
+    assert {r["term"]: r["num_keys"] for r in e.meta().collect()} == {r["term"]: r["count"] for r in e.store.read().groupBy("term").count().collect()}
     assert e.search(SearchRequest("m", {"text": "a"})).completed and e.never_fewer(SearchRequest("m", {"text": "a"}), 0) == 3
     e.compact()
     assert e.compact() is None
