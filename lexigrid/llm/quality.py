@@ -30,6 +30,9 @@ MIN_HELD_OUT = 20
 BROADCAST_GRAMS = 4_000_000
 #: doc_ids of trusted documents that are broadcast at most; above, they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: Languages whose thresholds are broadcast at most; above, they are joined by shuffle. Few languages hold most texts, so that
+#: a shuffle on them would send the texts to few tasks.
+BROADCAST_LANGS = 1_000_000
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -191,13 +194,21 @@ def _score(docs: DataFrame, labels: DataFrame, quantile: float, broadcast_grams:
     scores = saved(scores, "scores")
     judged = scores.where("trusted AND nll IS NOT NULL")
     cut = F.percentile("nll", F.lit(quantile)).alias("cut")
-    by_lang = judged.where("held").groupBy("lang_").agg(cut, F.count("*").alias("n")).where(F.col("n") >= MIN_HELD_OUT).select("lang_", "cut")
+    by_lang = saved(judged.where("held").groupBy("lang_").agg(cut, F.count("*").alias("n")).where(F.col("n") >= MIN_HELD_OUT).select("lang_", "cut"), "thresholds")
     overall, held = judged.where("held").agg(cut, F.count("*")).first()
     if held < MIN_HELD_OUT:  # too few anyway: all trusted ones
         overall = judged.agg(cut).first()["cut"]
     return scores, by_lang, overall, scored
 
 
+def _with_cut(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
+    """rows (lang_, ...) with `cut`, the threshold of their language, null where it has none of its own."""
+    own = by_lang.withColumnRenamed("lang_", "l_")
+    if own.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        own = F.broadcast(own)
+    return rows.join(own, F.col("lang_").eqNullSafe(F.col("l_")), "left")
+
+
 def _rejects(overall: float | None) -> Column:
     """null and empty texts are rejected; without any trusted text nothing else is."""
     cut = F.coalesce("cut", F.lit(overall).cast("double"))
@@ -217,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     empty is kept. Texts of any length are read whole. Other columns aren't read.
     """
     scores, by_lang, overall, _ = _score(docs, labels, quantile, broadcast_grams)
-    rows = scores.join(by_lang.withColumnRenamed("lang_", "l_"), F.col("lang_").eqNullSafe(F.col("l_")), "left")
+    rows = _with_cut(scores, by_lang)
     power = lambda c: F.pow(F.lit(2.0), c)
     return rows.select(
         F.col("id").alias("doc_id"), F.col("lang_").alias("lang"), F.col("bytes").alias("n_bytes"), power(F.col("nll")).alias("perplexity"), power(F.coalesce("cut", F.lit(overall).cast("double"))).alias("threshold"), (~_rejects(overall)).alias("keep")
@@ -227,6 +238,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The rows of docs that classify keeps, all columns. Texts are scored anew, which costs less than to shuffle them."""
     _, by_lang, overall, scored = _score(docs, labels, quantile, broadcast_grams)
-    rows = scored(packed(docs, text=F.col("text"), lang_=F.col("lang")))
-    rows = rows.join(by_lang.withColumnRenamed("lang_", "l_"), F.col("lang_").eqNullSafe(F.col("l_")), "left")
+    rows = _with_cut(scored(packed(docs, text=F.col("text"), lang_=F.col("lang"))), by_lang)
     return rows.where(~_rejects(overall)).select("row_.*")

@@ -131,4 +131,5 @@ def test_ids_joined_by_shuffle(spark, monkeypatch):
     _, docs, labels = corpus(spark)
     want = sorted(map(tuple, Q.classify(docs, labels).collect()))
     monkeypatch.setattr(Q, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(Q, "BROADCAST_LANGS", 0)
     assert [r[:3] for r in sorted(map(tuple, Q.classify(docs, labels).collect()))] == [r[:3] for r in want]
