@@ -14,9 +14,15 @@ SEED = "mix-1"
 BUDGET_FRACTION = 0.5
 #: Rows that one window of running sums holds at most, as a mean; also what the last cut is searched among.
 WINDOW_ROWS = 4096
+#: Sources whose last chosen place is broadcast at most; above, all texts are shuffled.
+BROADCAST_SOURCES = 1_000_000
 NO_SOURCE = "\u0000"
 
 
+def _shuffled(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
 def _queue(docs: DataFrame, tokens: Column, weights: dict[str, float] | None, default_weight: float, seed: str) -> DataFrame:
     """Every document's key, tokens and virtual finish time `vft`; its own shuffle order per source is that of md5(seed|doc_id)."""
     if min([default_weight, *(weights or {}).values()]) <= 0:
@@ -26,7 +32,7 @@ def _queue(docs: DataFrame, tokens: Column, weights: dict[str, float] | None, de
         F.col("doc_id").alias("id"),
         F.xxhash64("text").alias("t"),
         tokens.alias("n"),
-        F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+        _shuffled(F.col("doc_id"), seed).alias("h"),
     )
     narrow = saved(narrow, "mix-keys")
     rows = narrow.count()
@@ -97,18 +103,26 @@ def mix_sources(
     )
 
 
+def _key(doc_id: Column) -> Column:
+    """A doc_id as a key without nulls, so that joins and windows on it share a partitioning."""
+    return F.coalesce(F.concat(F.lit("#"), doc_id.cast("string")), F.lit(""))
+
+
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, budget_tokens: int | None = None, budget_fraction: float = BUDGET_FRACTION, seed: str = SEED) -> DataFrame:
     """The rows of docs that mix_sources chooses, all columns, in its order; of repeated rows as many as it chose."""
     queue = saved(_queue(docs, word_count(F.col("text")), weights, default_weight, seed), "mix-queue")
     budget = budget_tokens if budget_tokens is not None else math.floor((queue.agg(F.sum("n")).first()[0] or 0) * budget_fraction)
-    chosen = _cut(queue, budget).groupBy("id", "t", "src").agg(F.array_sort(F.collect_list("vft")).alias("times"), F.first("h").alias("h"))
-    key = ["id", "t", "src"]
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key]
-    wide = packed(docs, id=F.col("doc_id"), t=F.xxhash64("text"), src=F.coalesce(F.col("source"), F.lit(NO_SOURCE)))
+    chosen = saved(_cut(queue, budget).groupBy(_key(F.col("id")).alias("k_"), "t", "src").agg(F.array_sort(F.collect_list("vft")).alias("times"), F.first("h").alias("h")), "mix-chosen")
+    wide = packed(docs, k_=_key(F.col("doc_id")), t=F.xxhash64("text"), src=F.coalesce(F.col("source"), F.lit(NO_SOURCE)))
+    # What is chosen of a source are the first of its queue, so texts behind the last of them needn't be shuffled.
+    last = chosen.groupBy("src").agg(F.max("h").alias("last"))
+    if last.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        place = _shuffled(F.col("row_.doc_id"), seed)
+        wide = wide.join(F.broadcast(last), "src").where(place <= F.col("last")).drop("last")
+    key = ["k_", "t", "src"]
     wide = wide.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("t")))
-    a, b, c = same(wide, chosen)
-    both = wide.join(chosen, a & b & c).where(F.col("nth") <= F.size("times")).select("row_", F.element_at("times", F.col("nth")).alias("vft"), wide["src"].alias("s_"), "h", wide["id"].alias("i_"))
-    return both.repartitionByRange("vft", "s_", "h", "i_").sortWithinPartitions("vft", "s_", "h", "i_").select("row_.*")
+    both = wide.join(chosen, key).where(F.col("nth") <= F.size("times")).select("row_", F.element_at("times", F.col("nth")).alias("vft"), "src", "h", "k_")
+    return both.repartitionByRange("vft", "src", "h", "k_").sortWithinPartitions("vft", "src", "h", "k_").select("row_.*")
 
 
 def oracle_sql(budget_fraction: float = BUDGET_FRACTION, seed: str = SEED) -> str:

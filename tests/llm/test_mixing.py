@@ -37,6 +37,7 @@ def key(rows):
 def test_against_brute_force(spark, kw, small, monkeypatch):
     if small:  # many ranges, and several rounds of the search for the cut
         monkeypatch.setattr(mixing, "WINDOW_ROWS", 2)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     rng = random.Random(1)
     rows = [(i, words(rng, rng.randint(0, 30)), "en", f"s{rng.randint(0, 3)}") for i in range(200)]
     args = {"weights": kw.get("weights"), "budget_fraction": kw.get("fraction", 0.5), "budget_tokens": kw.get("budget")}
