@@ -17,8 +17,8 @@ def test_stages(spark, tmp_path):
     clean = [(i, "\n".join(words(rng, 12, "abcdef") for _ in range(6)), "en", f"s{i % 12}") for i in range(120)]
     junk = [(500 + i, words(rng, 60, "xyz#%"), "en", "s0") for i in range(10)]
     footer = "made with care by the same tool everywhere"
-    rows = [(i, t + "\n" + footer if i % 2 else t, lang, s) for i, t, lang, s in clean] + junk
-    rows += [(700 + i, rows[2 * i][1] + " edited", "en", "s3") for i in range(8)]
+    rows = [(i, t + "\n" + footer if i // 12 % 2 else t, lang, s) for i, t, lang, s in clean] + junk  # on all twelve sites
+    rows += [(700 + i, rows[i][1] + " edited", "en", "s3") for i in range(8)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1 if i < 500 else 0, 0) for i in [*range(100), 500, 501]], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
