@@ -105,10 +105,10 @@ class PostingStore:
         return self._write(postings.select(*POSTINGS.fieldNames(), F.lit(self._next()).cast("bigint").alias("seq"), F.lit(False).alias("deleted")), "append", [])
 
     def delete(self, keys: DataFrame, report_missing: bool = True) -> DataFrame:
-        """keys (mailbox, attr, term, ts, id): remove these postings. Gives the keys that weren't there."""
+        """keys (mailbox, attr, term, ts, id): remove these postings. Gives the keys that weren't there, read when asked for from
+        the generations before this one, so before a vacuum() that deletes those."""
         keys = keys.select(*IDENTITY).distinct()
-        missing = keys.join(self.read().select(*IDENTITY), IDENTITY, "left_anti")
-        missing = self.spark.createDataFrame(missing.toPandas(), keys.schema) if report_missing else missing.limit(0)
+        missing = keys.join(self.read().select(*IDENTITY), IDENTITY, "left_anti") if report_missing else keys.limit(0)
         tombs = keys.select(*IDENTITY, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "string"), ("key", "string"), ("positions", "array<bigint>"))], F.lit(self._next()).cast("bigint").alias("seq"), F.lit(True).alias("deleted"))
         self._write(tombs, "delete", [])
         return missing
