@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ QUANTILE = 0.995
 #: One trusted document in so many, by hash of its doc_id, is held out of training for the thresholds: a model finds its own
 #: training text too easy, so thresholds taken from that would reject good documents.
 HOLD_OUT = 5
-#: Languages with fewer held-out documents than this use the threshold of all languages together.
+#: Languages with fewer held-out documents than this have their threshold from all their trusted documents, cross-validated.
 MIN_HELD_OUT = 20
 #: Rows of the scored n-gram table that are broadcast at most (16 bytes each); above, texts are shuffled to them by block.
 BROADCAST_GRAMS = 4_000_000
@@ -79,12 +80,14 @@ def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (id, ...) with `trusted`: whether labels has quality 1 and doesn't call it toxic; and `held`: whether it is held out."""
+    """docs (id, ...) with `trusted`: whether labels has quality 1 and doesn't call it toxic; `fold`: one of HOLD_OUT, by hash of
+    the id; and `held`: whether it is trusted and held out, which fold 0 is."""
     ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id")).distinct().withColumn("hit", F.lit(True))
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.join(ids, "id", "left").withColumn("trusted", F.coalesce("hit", F.lit(False))).drop("hit")
-    return marked.withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("id"), F.lit(HOLD_OUT)) == 0))
+    marked = marked.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(HOLD_OUT)))
+    return marked.withColumn("held", F.col("trusted") & (F.col("fold") == 0))
 
 
 def discounts(n: dict[int, int]) -> tuple[float, float, float]:
@@ -178,41 +181,69 @@ def _by_block(rows: DataFrame, p: DataFrame) -> DataFrame:
     return rows.join(scores, ["t", "len"], "left").drop("t", "len")
 
 
-def _score(docs: DataFrame, labels: DataFrame, quantile: float, broadcast_grams: int) -> tuple[DataFrame, DataFrame, float | None, Callable[[DataFrame], DataFrame]]:
-    """The scores (id, lang_, bytes, nll, trusted, held), thresholds of nll by language, that of all, and what adds nll to rows with a text."""
+def _of_languages(rows: DataFrame, langs: DataFrame) -> DataFrame:
+    """rows (lang_, ...) of the languages in langs (lang_); null is one."""
+    return rows.join(langs.withColumnRenamed("lang_", "l_"), F.col("lang_").eqNullSafe(F.col("l_")), "left_semi")
+
+
+def _grams_of(rows: DataFrame) -> DataFrame:
+    """rows (text, trusted) -> (g, c): their n-grams, and how often each occurs in trusted texts."""
+    return saved(rows.select("text", "trusted").mapInPandas(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "grams")
+
+
+def _cross_validated(marked: DataFrame, few: DataFrame, scored: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(lang_, nll) of the trusted documents of the languages in few that aren't held out, each under a model of all trusted
+    documents but those of its own fold. Only texts of these languages are scored and kept on disk."""
+    trusted = marked.where("trusted AND text IS NOT NULL AND text != ''").select("lang_", "text", "fold")
+    small = saved(_of_languages(trusted, few), "few-trusted")
+    parts = []
+    for k in range(1, HOLD_OUT):
+        asked = small.where(F.col("fold") == k)
+        if asked.isEmpty():
+            continue
+        table = trusted.where(F.col("fold") != k).select("text", F.lit(True).alias("trusted")).unionByName(asked.select("text", F.lit(False).alias("trusted")))
+        parts.append(saved(scored(asked, kneser_ney(_grams_of(table))).select("lang_", "nll"), "unseen"))
+    return reduce(DataFrame.unionByName, parts, small.select("lang_", F.lit(None).cast("double").alias("nll")).limit(0))
+
+
+def _score(docs: DataFrame, labels: DataFrame, quantile: float, broadcast_grams: int) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The scores (id, lang_, bytes, nll, trusted, held), thresholds of nll by language, and what adds nll to rows with a text."""
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").alias("lang_"), "text")
     marked = _trusted(narrow, labels)
-    table = marked.where("text IS NOT NULL AND text != ''").select("text", (F.col("trusted") & ~F.col("held")).alias("trusted")).mapInPandas(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-    p = kneser_ney(saved(table, "grams"))
+    p = kneser_ney(_grams_of(marked.where("text IS NOT NULL AND text != ''").select("text", (F.col("trusted") & ~F.col("held")).alias("trusted"))))
 
-    def scored(rows: DataFrame) -> DataFrame:
+    def scored(rows: DataFrame, p: DataFrame = p) -> DataFrame:
         return _by_broadcast(spark, rows, p) if p.count() <= broadcast_grams else _by_block(rows, p)
 
     scores = scored(marked).select("id", "lang_", F.octet_length("text").alias("bytes"), "nll", "trusted", "held")
     scores = saved(scores, "scores")
     judged = scores.where("trusted AND nll IS NOT NULL")
-    cut = F.percentile("nll", F.lit(quantile)).alias("cut")
-    by_lang = saved(judged.where("held").groupBy("lang_").agg(cut, F.count("*").alias("n")).where(F.col("n") >= MIN_HELD_OUT).select("lang_", "cut"), "thresholds")
-    overall, held = judged.where("held").agg(cut, F.count("*")).first()
-    if held < MIN_HELD_OUT:  # too few anyway: all trusted ones
-        overall = judged.agg(cut).first()["cut"]
-    return scores, by_lang, overall, scored
+    langs = saved(judged.groupBy("lang_").agg(F.count_if("held").alias("held")), "languages")
+    few = langs.where(F.col("held") < MIN_HELD_OUT).select("lang_")
+    unseen = _of_languages(judged.where("held").select("lang_", "nll"), langs.where(F.col("held") >= MIN_HELD_OUT).select("lang_"))
+    if not few.isEmpty():
+        if langs.agg(F.sum("held")).first()[0] < MIN_HELD_OUT:  # too little text for folds: as the model has it
+            own = judged.select("lang_", "nll")
+        else:
+            own = judged.where("held").select("lang_", "nll").unionByName(_cross_validated(marked, few, scored))
+        unseen = unseen.unionByName(_of_languages(own, few))
+    by_lang = saved(unseen.groupBy("lang_").agg(F.percentile("nll", F.lit(quantile)).alias("cut")), "thresholds")
+    return scores, by_lang, scored
 
 
 def _with_cut(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
-    """rows (lang_, ...) with `cut`, the threshold of their language, null where it has none of its own."""
+    """rows (lang_, ...) with `cut`, the threshold of their language, null where it has no trusted text."""
     own = by_lang.withColumnRenamed("lang_", "l_")
     if own.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
         own = F.broadcast(own)
     return rows.join(own, F.col("lang_").eqNullSafe(F.col("l_")), "left")
 
 
-def _rejects(overall: float | None) -> Column:
-    """null and empty texts are rejected; without any trusted text nothing else is."""
-    cut = F.coalesce("cut", F.lit(overall).cast("double"))
-    return F.col("nll").isNull() | F.coalesce(F.col("nll") > cut, F.lit(False))
+def _rejects() -> Column:
+    """null and empty texts are rejected; in languages without trusted text nothing else is."""
+    return F.col("nll").isNull() | F.coalesce(F.col("nll") > F.col("cut"), F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -221,22 +252,25 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     perplexity is 2 to the mean negative log2 probability of a byte under the model of the trusted documents (labels has
     quality 1 and not toxic 1). A document is rejected if it exceeds the threshold of its language.
 
-    Nulls: a null or empty text has no perplexity and is rejected. A null lang is a language of its own; languages with
-    under MIN_HELD_OUT held-out documents, and unknown ones, use the threshold of all. A null doc_id is never trusted. A
-    perplexity equal to the threshold is kept. Repeated rows are counted and judged each for itself; repeated labels count
+    Every language is judged by its own trusted documents alone: those held out, or under MIN_HELD_OUT of them all, each scored
+    by a model that wasn't trained on it (where all languages together have under MIN_HELD_OUT held out, by the one model).
+    A language without trusted text has no threshold, and its documents aren't judged: every text that isn't empty is kept.
+
+    Nulls: a null or empty text has no perplexity and is rejected. A null lang is a language of its own. A null doc_id is
+    never trusted. A perplexity equal to the threshold is kept. Repeated rows are counted and judged each for itself; repeated labels count
     once. An empty table gives an empty result; without trusted text there are no thresholds and every text that isn't
     empty is kept. Texts of any length are read whole. Other columns aren't read.
     """
-    scores, by_lang, overall, _ = _score(docs, labels, quantile, broadcast_grams)
+    scores, by_lang, _ = _score(docs, labels, quantile, broadcast_grams)
     rows = _with_cut(scores, by_lang)
     power = lambda c: F.pow(F.lit(2.0), c)
     return rows.select(
-        F.col("id").alias("doc_id"), F.col("lang_").alias("lang"), F.col("bytes").alias("n_bytes"), power(F.col("nll")).alias("perplexity"), power(F.coalesce("cut", F.lit(overall).cast("double"))).alias("threshold"), (~_rejects(overall)).alias("keep")
+        F.col("id").alias("doc_id"), F.col("lang_").alias("lang"), F.col("bytes").alias("n_bytes"), power(F.col("nll")).alias("perplexity"), power(F.col("cut")).alias("threshold"), (~_rejects()).alias("keep")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The rows of docs that classify keeps, all columns. Texts are scored anew, which costs less than to shuffle them."""
-    _, by_lang, overall, scored = _score(docs, labels, quantile, broadcast_grams)
+    _, by_lang, scored = _score(docs, labels, quantile, broadcast_grams)
     rows = _with_cut(scored(packed(docs, text=F.col("text"), lang_=F.col("lang"))), by_lang)
-    return rows.where(~_rejects(overall)).select("row_.*")
+    return rows.where(~_rejects()).select("row_.*")

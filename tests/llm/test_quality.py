@@ -133,3 +133,30 @@ def test_ids_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(Q, "BROADCAST_IDS", 0)
     monkeypatch.setattr(Q, "BROADCAST_LANGS", 0)
     assert [r[:3] for r in sorted(map(tuple, Q.classify(docs, labels).collect()))] == [r[:3] for r in want]
+
+
+def test_small_and_unlabelled_languages(spark):
+    """A language with few trusted documents has its own cross-validated threshold; one with none isn't judged."""
+    rng = random.Random(8)
+    en, es, pt = (words(rng, k, a).split() for k, a in ((20, "abcd"), (60, "efghijkl"), (60, "mnopqrst")))
+    text = lambda v: " ".join(rng.choices(v, k=12))
+    rows = [(i, text(en), "en", "s") for i in range(150)] + [(200 + i, text(es), "es", "s") for i in range(60)] + [(300 + i, text(pt), "pt", "s") for i in range(20)] + [(400 + i, words(rng, 12, "xyzw!"), "es", "s") for i in range(5)]
+    trusted = {*range(140), *range(200, 230)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in sorted(trusted)] + [(400, 0, 0)], LABELS)
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in Q.classify(docs, labels, Q.QUANTILE).collect()}
+    assert all(got[i]["keep"] and got[i]["threshold"] is None for i in range(300, 320))
+    assert sum(got[i]["keep"] for i in range(230, 260)) > 15 and not any(got[i]["keep"] for i in range(400, 405))
+    fold = {r["id"]: r["f"] for r in spark.range(500).selectExpr("id", f"pmod(xxhash64(id), {Q.HOLD_OUT}) AS f").collect()}
+    assert sum(fold[i] == 0 for i in range(200, 230)) < Q.MIN_HELD_OUT <= sum(fold[i] == 0 for i in trusted)
+    scores = []
+    for k in range(Q.HOLD_OUT):
+        p, seen = brute_model([t for i, t, *_ in rows if i in trusted and fold[i] != k], Q.ORDER), {}
+        for i, t, *_ in rows:
+            if 200 <= i < 230 and fold[i] == k:
+                b = b"\0" * (Q.ORDER - 1) + t.encode()
+                grams = [b[j : j + Q.ORDER] for j in range(len(t))]
+                scores.append(sum(-math.log2(seen.setdefault(g, None) or seen.update({g: p(g)}) or seen[g]) for g in grams) / len(grams))
+    assert math.log2(got[200]["threshold"]) == pytest.approx(np.quantile(scores, Q.QUANTILE), rel=1e-9)
+    kept = Q.keep_good(docs, labels, Q.QUANTILE)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["keep"])
