@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigrid.llm import line_dedup, mixing, packing, quality, simhash
-from lexigrid.llm.common import saved, table
+from lexigrid.llm.common import bounded_word_count, saved, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +25,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of weighted fair queueing over sources, up to the budget."""
-    return mixing.mixed_documents(docs)
+    """Documents in the order of weighted fair queueing over sources, up to the budget in bounded words."""
+    return mixing.mixed_documents(docs, tokens=bounded_word_count(F.col("text")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of training sequences: bin_id, slot, doc_id, piece, start_token, n_tokens."""
-    return packing.pack(docs)
+    """The bins of training sequences: bin_id, slot, doc_id, piece, start_token, n_tokens; a token is a bounded word."""
+    return packing.pack(docs, tokens=bounded_word_count(F.col("text")))
 
 
 STAGES = [("quality", good_quality), ("line dedup", without_boilerplate), ("near dedup", one_of_each_group), ("mixing", mixed), ("packing", packed)]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that a Python worker holds as arrays at once; longer texts are taken alone, whole.
 CHUNK_BYTES = 512 << 10
+#: A run of non-blank characters that is longer counts as several words where words are bounded.
+WORD_CHARS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
+def bounded_word_count(text: Column) -> Column:
+    """Words of at most WORD_CHARS characters, longer runs being cut; so a text without blanks has tokens by its length."""
+    return F.coalesce(F.regexp_count(text, F.lit(rf"\S{{1,{WORD_CHARS}}}")), F.lit(0)).cast("bigint")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     h = np.asarray(h, dtype=U64)

@@ -88,7 +88,8 @@ def mix_sources(
 
     Each source's documents queue in an order shuffled by md5(seed|doc_id). A document's virtual finish time is the tokens
     of its source up to and with it, divided by the source's weight. All documents are sorted by it, and the sequence ends
-    before the first one that would exceed the budget: budget_tokens, or budget_fraction of all tokens. So any prefix, and
+    before the first one that would exceed the budget: budget_tokens, or budget_fraction of all tokens. Without tokens, a count
+    of a text's tokens, a token is a run of non-blank characters, however long; op9 and its SQL count so. So any prefix, and
     the result, holds the sources' tokens in proportion to the weights until a source runs dry.
 
     Nulls: a null source is a source of its own; a null text has 0 tokens; null doc_ids share one place in the order.
@@ -108,9 +109,9 @@ def _key(doc_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("#"), doc_id.cast("string")), F.lit(""))
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, budget_tokens: int | None = None, budget_fraction: float = BUDGET_FRACTION, seed: str = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, budget_tokens: int | None = None, budget_fraction: float = BUDGET_FRACTION, seed: str = SEED, tokens: Column | None = None) -> DataFrame:
     """The rows of docs that mix_sources chooses, all columns, in its order; of repeated rows as many as it chose."""
-    queue = saved(_queue(docs, word_count(F.col("text")), weights, default_weight, seed), "mix-queue")
+    queue = saved(_queue(docs, word_count(F.col("text")) if tokens is None else tokens, weights, default_weight, seed), "mix-queue")
     budget = budget_tokens if budget_tokens is not None else math.floor((queue.agg(F.sum("n")).first()[0] or 0) * budget_fraction)
     chosen = saved(_cut(queue, budget).groupBy(_key(F.col("id")).alias("k_"), "t", "src").agg(F.array_sort(F.collect_list("vft")).alias("times"), F.first("h").alias("h")), "mix-chosen")
     wide = packed(docs, k_=_key(F.col("doc_id")), t=F.xxhash64("text"), src=F.coalesce(F.col("source"), F.lit(NO_SOURCE)))

@@ -74,7 +74,8 @@ def pack(
 ) -> DataFrame:
     """(bin_id, slot, doc_id, piece, start_token, n_tokens): every token of docs in exactly one bin, no capacity exceeded.
 
-    Documents over max_piece tokens are cut into pieces. Within groups drawn by hash, pieces are placed longest first by
+    tokens counts a text's tokens: op4 gives the ids of op3's tokenizer, the pipeline bounded words; without it a token is a
+    run of non-blank characters, however long. Documents over max_piece tokens are cut into pieces. Within groups drawn by hash, pieces are placed longest first by
     best_fit; slot counts a bin's pieces in that order. Only ids and lengths are shuffled.
 
     Nulls: a null text has no tokens, a null doc_id is packed like any other. Texts without tokens are in no bin. Equal

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigrid.llm import ann, chat, html_templates, line_dedup, mixing, packing, quality, simhash, token_store, winnow
 from lexigrid.llm.common import table
@@ -23,7 +24,7 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokens=token_store.token_count(spark, F.col("text")))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import U64, mix, small_batches
@@ -216,6 +216,19 @@ def token_shards(docs: DataFrame, tokenizer_path: str = TOKENIZER, shard_docs: i
     return keyed.mapInArrow(encode_rows, "shard int, doc_id bigint, ids binary").groupBy("shard").applyInPandas(build, SCHEMA)
 
 
+def token_count(spark: SparkSession, text: Column, tokenizer_path: str = TOKENIZER) -> Column:
+    """The number of ids of each text that token_shards stores; 0 for null and empty texts. Texts of any length are encoded whole."""
+    small_batches(spark)
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, id_bytes = tokenizer(tokenizer_path)
+        for s in batches:
+            yield pd.Series([len(x) // id_bytes for x in encode([t or "" for t in s])], dtype="int64")
+
+    return count.asNondeterministic()(text)  # else a filter on it would encode every text twice
+
+
 def _id_bytes(path: str) -> int:
     return 2 if max(int(line.split()[1]) for line in Path(path).read_bytes().splitlines() if line) < 1 << 16 else 4
 

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from lexigrid.llm import packing
+import corpus_pipeline
+from lexigrid.llm import packing, registry, token_store
 
 from .helpers import awkward, documents
 
@@ -72,3 +73,17 @@ def test_limits(spark):
     assert packing.pack(docs).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, 100, 4, 400, 50)
+
+
+def test_tokens_are_ids_or_bounded_words(spark, tmp_path):
+    """Texts without blanks have tokens by their length: op4 counts the tokenizer's ids, the pipeline words of 16 characters."""
+    texts = ["\u65e5\u672c\u8a9e" * 2400, "QWxhZGRpbjpvcGVu" * 1250, "some plain words", "", None]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    encode, id_bytes = token_store.tokenizer(token_store.TOKENIZER)
+    ids = {i: len(encode([t])[0]) // id_bytes for i, t in enumerate(texts) if t}
+    total = lambda df: {r[0]: r[1] for r in df.groupBy("doc_id").sum("n_tokens").collect()}
+    out = registry.op4_best_fit_packing(spark, str(tmp_path))
+    assert total(out) == ids and ids[0] > 3 * packing.MAX_PIECE
+    assert out.selectExpr("max(n_tokens)").first()[0] <= packing.MAX_PIECE
+    assert total(corpus_pipeline.packed(spark, docs, "")) == {0: 450, 1: 1250, 2: 3}
