@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.shared import shared_dir
+
 U64 = np.uint64
 #: Bytes of text that a Python worker holds as arrays at once; longer texts are taken alone, whole.
 CHUNK_BYTES = 512 << 10
@@ -20,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors reach (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors.
 
@@ -44,7 +36,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Let Python workers take texts in batches of at most 4 MB and 2,000 rows, unless the session has less: texts are long,
-    and a worker holds several batches in several forms."""
+    and a worker holds several batches in several forms. The session keeps the setting, as plans read it when they run."""
     for name, most in (("maxBytesPerBatch", 4 << 20), ("maxRecordsPerBatch", 2000)):
         key = f"spark.sql.execution.arrow.{name}"
         now = spark.conf.get(key)

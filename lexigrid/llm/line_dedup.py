@@ -14,8 +14,6 @@ MIN_SITES = 10
 #: Relative half-width of the estimates that are counted exactly; a sketch of 2**LG_K registers errs by about 1.6 %.
 BAND = 0.25
 LG_K = 12
-#: A document that would lose so many lines and more than half of its text is a copy, not a carrier of boilerplate.
-COPY_LINES = 3
 
 
 def _trimmed(line: Column) -> Column:
@@ -45,9 +43,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
     """docs without the lines that recur on min_sites or more sites; all rows and columns stay.
 
-    A line counts by its text without blanks at its ends; blank lines are never boilerplate. A document stays whole if it
-    would lose all that isn't blank, or COPY_LINES lines or more that make over half of its text: such a document is a
-    copy of others, which near-duplicate removal treats. n_chars, if there, is set to the new length.
+    A line counts by its text without blanks at its ends; blank lines are never boilerplate. The one exemption: a document
+    that would lose all that isn't blank stays whole, as it is a copy of others, of which near-duplicate removal then keeps
+    one; else no copy would. n_chars, if there, is set to the new length.
 
     Nulls: a null source is no site and adds to no count; its documents are still cleaned. A null text stays null, an
     empty one empty. Ties don't occur. Repeated rows count once per site and are all kept, cleaned alike. An empty table
@@ -63,11 +61,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float
     )
     rows = packed(docs, t=F.xxhash64("text"), n=F.length("text")).join(found, ["t", "n"], "left")
     lines = F.split("row_.text", "\n")
-    weight = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(_trimmed(x)))
     kept = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
-    rest, whole = weight(kept), weight(lines)
-    copy = (rest == 0) | ((F.size("drop") >= COPY_LINES) & (rest * 2 < whole))
-    text = F.when(F.col("drop").isNull() | copy, F.col("row_.text")).otherwise(F.array_join(kept, "\n"))
+    blank = ~F.exists(kept, lambda x: _trimmed(x) != "")
+    text = F.when(F.col("drop").isNull() | blank, F.col("row_.text")).otherwise(F.array_join(kept, "\n"))
     out = rows.select("row_", text.alias("text_"))
     fields = [F.col(f"row_.`{c}`").alias(c) for c in docs.columns]
     for i, c in enumerate(docs.columns):
@@ -89,11 +85,11 @@ lines AS (
 bad AS (SELECT t FROM lines WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= {min_sites}),
 marked AS (SELECT l.*, b.t IS NOT NULL AS drop_ FROM lines l LEFT JOIN bad b ON l.t = b.t),
 docs AS (
-  SELECT rowid_, sum(CASE WHEN drop_ THEN 1 ELSE 0 END) AS n, sum(CASE WHEN drop_ THEN 0 ELSE length(t) END) AS rest, sum(length(t)) AS whole,
+  SELECT rowid_, sum(CASE WHEN drop_ THEN 1 ELSE 0 END) AS n, sum(CASE WHEN drop_ THEN 0 ELSE length(t) END) AS rest,
          string_agg(CASE WHEN drop_ THEN NULL ELSE line END, chr(10) ORDER BY pos) AS cleaned
   FROM marked GROUP BY rowid_),
 result AS (
-  SELECT d.doc_id, CASE WHEN c.n IS NULL OR c.n = 0 OR c.rest = 0 OR (c.n >= {COPY_LINES} AND c.rest * 2 < c.whole) THEN d.text ELSE c.cleaned END AS text, d.lang, d.source
+  SELECT d.doc_id, CASE WHEN c.n IS NULL OR c.n = 0 OR c.rest = 0 THEN d.text ELSE c.cleaned END AS text, d.lang, d.source
   FROM numbered d LEFT JOIN docs c ON d.rowid_ = c.rowid_)
 SELECT doc_id, text, lang, source, CAST(length(text) AS BIGINT) AS n_chars FROM result"""
 

@@ -15,11 +15,11 @@ CAPACITY_TOKENS = 4096
 CAPACITY_DOCS = 32
 #: Sum of squared lengths, of the 4096**2 that one document of the whole length would cost.
 CAPACITY_ATTENTION = int(0.4 * CAPACITY_TOKENS**2)
-#: Longer documents are cut into pieces of at most so many tokens.
-MAX_PIECE = 2048
+#: Longer documents are cut into pieces of at most so many tokens: the longest that an empty bin takes at that cost.
+MAX_PIECE = math.isqrt(CAPACITY_ATTENTION)
 WEIGHTS = (1.0, 0.1, 0.3)
-#: Pieces packed together, as a mean. Groups are drawn by hash, so what packing over more would gain is small.
-GROUP_PIECES = 4096
+#: Pieces packed together, as a mean; best fit is over all bins of a group, which one task holds.
+GROUP_PIECES = 16_384
 #: A null doc_id travels as known = false, as pandas has no null among integers.
 SCHEMA = "bin_id bigint, slot int, doc_id bigint, known boolean, piece int, start_token bigint, n_tokens int"
 
@@ -71,28 +71,31 @@ def pack(
     weights: tuple[float, float, float] = WEIGHTS,
     method: str = "norm",
     tokens: Column | None = None,
+    group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
     """(bin_id, slot, doc_id, piece, start_token, n_tokens): every token of docs in exactly one bin, no capacity exceeded.
 
-    tokens counts a text's tokens: op4 gives the ids of op3's tokenizer, the pipeline bounded words; without it a token is a
-    run of non-blank characters, however long. Documents over max_piece tokens are cut into pieces. Within groups drawn by hash, pieces are placed longest first by
-    best_fit; slot counts a bin's pieces in that order. Only ids and lengths are shuffled.
+    tokens counts a text's tokens; op4 and the pipeline give the ids of op3's tokenizer, so start_token and n_tokens are a
+    range of those ids. Without it a token is a run of non-blank characters, however long. Documents over max_piece tokens
+    are cut into pieces. Pieces are drawn by hash into groups of about group_pieces; up to that many pieces there is one.
+    In a group they are placed longest first by best_fit over all its bins; slot counts a bin's pieces in that order. Only
+    ids and lengths are shuffled.
 
     Nulls: a null text has no tokens, a null doc_id is packed like any other. Texts without tokens are in no bin. Equal
-    lengths go by doc_id, then piece. Repeated rows are packed each for itself. Very long texts become many pieces. An empty
-    table gives an empty result. Other columns aren't read.
+    lengths go by doc_id, then piece. Repeated rows are packed each for itself, spread over the groups. Very long texts
+    become many pieces. An empty table gives an empty result. Other columns aren't read.
     """
-    if max_piece > capacity_tokens or max_piece**2 > capacity_attention or capacity_docs < 1 or max_piece < 1:
-        raise ValueError("a piece of max_piece tokens must fit an empty bin")
+    if max_piece > capacity_tokens or max_piece**2 > capacity_attention or min(capacity_docs, max_piece, group_pieces) < 1:
+        raise ValueError("a piece of max_piece tokens must fit an empty bin, and groups hold pieces")
     n = word_count(F.col("text")) if tokens is None else tokens.cast("bigint")
-    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n")).where("n > 0")
-    pieces = saved(
-        sizes.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / max_piece).cast("int") - 1)).alias("piece")).select(
-            "doc_id", "known", "piece", (F.col("piece").cast("bigint") * max_piece).alias("start_token"), F.least(F.lit(max_piece), F.col("n") - F.col("piece").cast("bigint") * max_piece).cast("int").alias("n_tokens")
-        ),
-        "pieces",
-    )
-    groups = max(1, math.ceil(pieces.count() / GROUP_PIECES))
+    sizes = saved(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), n.alias("n")).where("n > 0"), "sizes")
+    # Rows alike are numbered by counting them, so that the hash below parts them too.
+    alike = sizes.groupBy("doc_id", "known", "n").agg(F.count("*").alias("rows")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    at = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / max_piece).cast("int") - 1)).alias("piece")
+    start = F.col("piece").cast("bigint") * max_piece
+    pieces = alike.select("doc_id", "known", "copy", "n", at).select("doc_id", "known", "copy", "piece", start.alias("start_token"), F.least(F.lit(max_piece), F.col("n") - start).cast("int").alias("n_tokens"))
+    number = sizes.agg(F.sum(F.ceil(F.col("n") / max_piece))).first()[0] or 0
+    groups = max(1, math.ceil(number / group_pieces))
     capacity = (capacity_tokens, capacity_docs, capacity_attention)
 
     def place(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,5 +105,5 @@ def pack(
         rows["slot"] = rows.groupby("bin_id").cumcount().astype("int32")
         return rows[["bin_id", "slot", "doc_id", "known", "piece", "start_token", "n_tokens"]]
 
-    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups))).groupBy("g").applyInPandas(place, SCHEMA)
+    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "known", "copy", "piece", "n_tokens"), F.lit(groups))).groupBy("g").applyInPandas(place, SCHEMA)
     return placed.select("bin_id", "slot", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "piece", "start_token", "n_tokens")

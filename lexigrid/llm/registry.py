@@ -44,7 +44,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.TARGET_WEIGHTS)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """None for 1 to 6 and 8: they are compared with brute force in tests/llm."""
-    return {"op7_chat_perspectives": chat.oracle_sql(), "op9_mix_sources": mixing.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
+    return {"op7_chat_perspectives": chat.oracle_sql(), "op9_mix_sources": mixing.oracle_sql(weights=mixing.TARGET_WEIGHTS), "op10_line_dedup": line_dedup.oracle_sql()}

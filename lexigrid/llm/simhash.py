@@ -24,6 +24,8 @@ RADIUS_ALL = 60
 #: Signatures of a tile, as a mean. Every pair of tiles is one group; a tile is sent once to each group that has it.
 TILE = 400_000
 MIN_TILES = 6
+#: Pairs of tiles that are broadcast at most (8 bytes each); above, signatures are joined to them by shuffle.
+BROADCAST_PAIRS = 4_000_000
 _BLOCK = (32, 4096)
 WORDS = ["s0", "s1", "s2", "s3"]
 
@@ -104,51 +106,56 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, radius_all: int
 
 
 def _edges(signatures: DataFrame, radius: int, radius_all: int) -> DataFrame:
-    """(a, b), a > b: for every pair of tiles a spanning forest of its near pairs, so that components are those of all pairs."""
+    """(a, b, links): of every pair of tiles the signatures `a` that have near ones there, the least of their component there
+    `b`, and how many rows (column m) have a signature near a. So components of a, b are those of all pairs, and the links
+    of a signature are the sum over its pairs of tiles, in which each pair of signatures is met once."""
     n = signatures.count()
     tiles = max(MIN_TILES, -(-n // TILE))
     # Tiles are ranges of the first word's bit count, ties by hash.
     weight = F.bit_count("s0")
     k = weight * F.lit(1 << 16) + F.pmod(F.xxhash64("sid"), F.lit(1 << 16))
-    cuts = signatures.agg(F.percentile_approx(k, [i / tiles for i in range(1, tiles)], 10_000)).first()[0] or []
-    tile = F.lit(0)
-    for c in cuts:
-        tile = tile + (k > F.lit(int(c))).cast("int")
-    tiled = saved(signatures.select("sid", *WORDS, tile.alias("tile"), weight.alias("w")), "tiles")
+    cuts = np.array(signatures.agg(F.percentile_approx(k, [i / tiles for i in range(1, tiles)], 10_000)).first()[0] or [], np.int64)
+
+    @F.pandas_udf("int")
+    def tile_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(), "left").astype(np.int32))
+
+    tiled = saved(signatures.select("sid", *WORDS, "m", tile_of(k).alias("tile"), weight.alias("w")), "tiles")
     ranges = {r["tile"]: (r["low"], r["high"]) for r in tiled.groupBy("tile").agg(F.min("w").alias("low"), F.max("w").alias("high")).collect()}
-    partners = {t: [u for u in ranges if ranges[u][0] - ranges[t][1] <= radius and ranges[t][0] - ranges[u][1] <= radius] for t in ranges}
-    if not ranges:
-        return tiled.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    pair = lambda t, u: min(t, u) * (max(ranges) + 1) + max(t, u)
-    numbers = F.create_map(*[x for t, us in partners.items() for x in (F.lit(t), F.array(*[F.lit(pair(t, u)) for u in us]))])
-    sent = tiled.select("sid", *WORDS, "tile", F.explode(numbers[F.col("tile")]).alias("pair"))
+    top = max(ranges, default=0) + 1
+    pairs = [(t, [min(t, u) * top + max(t, u) for u in ranges if ranges[u][0] - ranges[t][1] <= radius and ranges[t][0] - ranges[u][1] <= radius]) for t in ranges]
+    table = signatures.sparkSession.createDataFrame(pairs, "tile int, pairs array<bigint>")
+    if sum(len(p) for _, p in pairs) <= BROADCAST_PAIRS:
+        table = F.broadcast(table)
+    sent = tiled.join(table, "tile").select("sid", *WORDS, "m", "tile", F.explode("pairs").alias("pair"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("tile", kind="stable", ignore_index=True)
         s = np.ascontiguousarray(rows[WORDS].to_numpy()).view(U64)
-        s_tile = rows["tile"].to_numpy()
-        sid = rows["sid"].to_numpy()
+        s_tile, sid, m = rows["tile"].to_numpy(), rows["sid"].to_numpy(), rows["m"].to_numpy()
         by_count = np.lexsort((np.bitwise_count(s[:, 0]), s_tile))
-        s, s_tile, sid = s[by_count], s_tile[by_count], sid[by_count]
+        s, s_tile, sid, m = s[by_count], s_tile[by_count], sid[by_count], m[by_count]
         if s_tile[0] == s_tile[-1]:
             a, b = near_pairs(s, None, radius, radius_all)
         else:
-            m = int(np.searchsorted(s_tile, s_tile[-1]))
-            a, b = near_pairs(s[:m], s[m:], radius, radius_all)
-            b = b + m
+            second = int(np.searchsorted(s_tile, s_tile[-1]))
+            a, b = near_pairs(s[:second], s[second:], radius, radius_all)
+            b = b + second
         used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left, right = at[: len(a)], at[len(a) :]
+        links = np.zeros(len(used), np.int64)
+        np.add.at(links, left, m[b])
+        np.add.at(links, right, m[a])
         ids = sid[used]
         rank = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[rank] = np.arange(len(ids))
-        root = _roots(len(ids), place[at[: len(a)]], place[at[len(a) :]])
-        ids = ids[rank]
-        out = pd.DataFrame({"a": ids, "b": ids[root]})
-        return out[out["a"] != out["b"]]
+        root = _roots(len(ids), place[left], place[right])
+        return pd.DataFrame({"a": ids[rank], "b": ids[rank][root], "links": links[rank]})
 
     # One group each is a task's work of seconds to minutes: as many partitions as groups, so that they spread evenly.
-    groups = len({pair(t, u) for t, us in partners.items() for u in us})
-    return sent.repartition(groups, "pair").groupBy("pair").applyInPandas(compare, "a bigint, b bigint")
+    groups = max(1, len({p for _, ps in pairs for p in ps}))
+    return sent.repartition(groups, "pair").groupBy("pair").applyInPandas(compare, "a bigint, b bigint, links bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,38 +178,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame, radius: int, radius_all: int) -> DataFrame:
-    """(id, t, grp, nth): each row's group, null if it has no words, and its place in the group by doc_id."""
+    """(id, t, grp, links): each row's group, null if it has no words, and how many other rows are near it."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("t"), "text")
     known = rows.select(F.col("id").cast("string").alias("id"), "t", "text").mapInPandas(_signed, "id string, t bigint, wordy boolean, " + ", ".join(f"{c} bigint" for c in WORDS))
     signed = saved(known.select(F.col("id").cast("bigint").alias("id"), "t", "wordy", *WORDS, F.when(F.col("wordy"), F.xxhash64(*WORDS)).alias("sid")), "signatures")
-    distinct = saved(signed.where("wordy").groupBy("sid").agg(*[F.first(c).alias(c) for c in WORDS]), "distinct-signatures")
-    roots = components(_edges(distinct, radius, radius_all))
-    joined = signed.select("id", "t", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    return joined.select("id", "t", F.coalesce("root", "sid").alias("grp"))
+    distinct = saved(signed.where("wordy").groupBy("sid").agg(*[F.first(c).alias(c) for c in WORDS], F.count("*").alias("m")), "distinct-signatures")
+    near = saved(_edges(distinct, radius, radius_all), "near-signatures")
+    roots = components(near.select("a", "b"))
+    linked = near.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+    # Only signatures with a near one or with several rows are joined to the rows; rows without words aren't shuffled.
+    known = distinct.select("sid", "m").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(linked, "sid", "left").where("m > 1 OR links IS NOT NULL")
+    joined = signed.where("wordy").select("id", "t", "sid").join(known, "sid", "left")
+    joined = joined.select("id", "t", F.coalesce("root", "sid").alias("grp"), (F.coalesce("m", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return joined.unionByName(signed.where("NOT wordy").select("id", "t", F.lit(None).cast("bigint").alias("grp"), F.lit(0).cast("bigint").alias("links")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, radius_all: int = RADIUS_ALL) -> DataFrame:
-    """(doc_id, group_id, group_size, keep) for every row of docs: groups are the components of the near-copy relation.
+    """(doc_id, group_id, group_size, n_links, keep) for every row of docs: groups are the components of the near-copy relation.
 
-    group_id is the group's least doc_id; keep holds for one row of each group, the one with that doc_id.
+    group_id is the group's least doc_id; n_links is how many other rows the row is a near copy of, exact ones included; keep
+    holds for one row of each group, the one with that doc_id.
 
-    Nulls and empty texts: a row without words is like nothing, is a group of its own (group_id its doc_id) and kept. A null
+    Nulls and empty texts: a row without words is like nothing, is a group of its own (group_id its doc_id, no links) and kept. A null
     doc_id sorts last. Ties: equal doc_ids go by text hash; of repeated rows one is kept. An empty table gives an empty
     result. Texts of any length are read whole. Other columns aren't read.
     """
-    rows = saved(_groups(docs, radius, radius_all), "grouped")
-    size = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"), F.count("*").alias("size"))
-    # Only groups of two or more need an order; a window over all rows would move the rest for nothing.
-    many = rows.join(size.where("size > 1"), "grp")
-    first = Window.partitionBy("grp").orderBy(F.col("id").asc_nulls_last(), "t")
-    many = many.select(F.col("id").alias("doc_id"), F.col("least").alias("group_id"), F.col("size").alias("group_size"), (F.row_number().over(first) == 1).alias("keep"))
-    alone = rows.join(size.where("size > 1"), "grp", "left_anti")
-    return many.unionByName(alone.select(F.col("id").alias("doc_id"), F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("keep")))
+    rows = saved(_groups(docs, radius, radius_all).withColumn("nth", F.monotonically_increasing_id()), "grouped")
+    # A group may hold a third of all rows, so its first is found by aggregation; nth decides among rows alike.
+    order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "t", "nth")
+    size = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.min(order).alias("best"))
+    many = rows.where("grp IS NOT NULL").join(size.where("size > 1"), "grp", "left")
+    many = many.select(
+        F.col("id").alias("doc_id"), F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("least")).alias("group_id"), F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
+        F.col("links").alias("n_links"), F.coalesce(order == F.col("best"), F.lit(True)).alias("keep"),
+    )
+    alone = rows.where("grp IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.col("links").alias("n_links"), F.lit(True).alias("keep"))
+    return many.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, radius_all: int = RADIUS_ALL) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns."""
+    """The rows of docs that near_duplicates keeps, all columns.
+
+    Null and empty texts are all kept; null doc_ids sort last; ties go by text hash; of repeated rows one is kept. An empty
+    table gives an empty one. Texts of any length are read whole; columns of any name pass through.
+    """
     rows = saved(_groups(docs, radius, radius_all), "grouped")
     order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "t")
     size = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
@@ -213,7 +233,6 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, radius_all: int = RADIUS_ALL
     joined = wide.join(f, wide["id"].eqNullSafe(f["i_"]) & (wide["t"] == f["t_"]), "left").where("coalesce(best, true)")
     again = fate.where("best AND rows > 1").limit(1).count()
     if again:  # rows that are repeated as they are: one of them
-        nth = F.row_number().over(Window.partitionBy("id", "t").orderBy("t"))
-        repeated = joined.where("rows > 1").select("row_", nth.alias("nth")).where("nth = 1").select("row_")
+        repeated = joined.where("rows > 1").groupBy("id", "t").agg(F.first("row_").alias("row_")).select("row_")
         joined = joined.where("rows IS NULL OR rows = 1").select("row_").unionByName(repeated)
     return joined.select("row_.*")

@@ -21,9 +21,7 @@ def brute(rows, min_sites):
         if t is not None:
             lines = t.split("\n")
             kept = [x for x in lines if trim(x) not in bad]
-            size = lambda ls: sum(len(trim(x)) for x in ls)
-            gone = len(lines) - len(kept)
-            if gone and size(kept) and not (gone >= L.COPY_LINES and size(kept) * 2 < size(lines)):
+            if any(map(trim, kept)):
                 t = "\n".join(kept)
         out.append((i, t, lang, s, None if t is None else len(t)))
     return out
@@ -62,10 +60,13 @@ def test_many_sites_near_the_threshold(spark):
     assert key(L.remove_boilerplate(docs, 40).collect()) == key(brute(rows, 40))
 
 
-def test_copies_stay_whole(spark):
-    body = "\n".join(f"line {i} of a text that is copied" for i in range(6))
-    rows = [(i, body + f"\nown {i}", "en", f"s{i}") for i in range(12)] + [(50 + i, "only line", "en", f"s{i}") for i in range(12)]
-    assert all(r["text"].startswith(("line 0", "only line")) for r in L.remove_boilerplate(documents(spark, rows)).collect())
+def test_only_boilerplate_stays_whole(spark):
+    """However much of a document is boilerplate it goes; only a document of nothing else stays."""
+    body = [f"line {i} of a text that is copied" for i in range(6)]
+    rows = [(100 * n + i, "\n".join(body[:n] + [f"own {n} {i}"]), "en", f"s{i}") for n in range(1, 7) for i in range(12)] + [(900 + i, "\n".join([*body, " \t"]), "en", f"s{i}") for i in range(12)]
+    got = {r["doc_id"]: r["text"] for r in L.remove_boilerplate(documents(spark, rows)).collect()}
+    assert all(got[100 * n + i] == f"own {n} {i}" for n in range(1, 7) for i in range(12))
+    assert all(got[900 + i] == "\n".join([*body, " \t"]) for i in range(12))
 
 
 def test_awkward(spark):

@@ -1,30 +1,38 @@
 import hashlib
 import math
 import random
+import re
 
+import duckdb
+import pandas as pd
 import pytest
 
 from lexigrid.llm import mixing
+from lexigrid.llm.common import WORD_CHARS
 
 from .helpers import awkward, documents, words
 
 
-def brute(rows, weights=None, default=1.0, fraction=0.5, budget=None, seed=mixing.SEED):
-    n = lambda t: len((t or "").split())
-    h = lambda i: hashlib.md5(f"{seed}|{'' if i is None else i}".encode()).hexdigest()
+def bounded(t):
+    return len(re.findall(rf"[^ \t\n\v\f\r]{{1,{WORD_CHARS}}}", t or ""))
+
+
+def brute(rows, weights=None, default=1.0, fraction=0.5, budget=None, seed=mixing.SEED, n=bounded):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    h = lambda i, t, s: md5(f"{seed}|{'' if i is None else i}|{s or ''}|{md5(t or '')}")
     queue = []
     for s in {r[3] for r in rows}:
         cum = 0
-        for i, t in sorted(((r[0], r[1]) for r in rows if r[3] == s), key=lambda x: (h(x[0]), x[0] is not None, x[0] or 0, n(x[1]))):
-            cum += n(t)
-            queue.append((cum / (weights or {}).get(s, default), s is not None, s or "", h(i), i is not None, i or 0, n(t)))
+        for place, size, i in sorted(((h(r[0], r[1], s), n(r[1]), r[0]) for r in rows if r[3] == s), key=lambda x: x[:2]):
+            cum += size
+            queue.append((cum / (weights or {}).get(s, default), place, s is not None, s or "", i is not None, i or 0, size))
     budget = math.floor(sum(q[-1] for q in queue) * fraction) if budget is None else budget
     out, total = [], 0
     for q in sorted(queue):
         total += q[-1]
         if total > budget:
             break
-        out.append((q[5] if q[4] else None, q[2] if q[1] else None, q[-1], q[0]))
+        out.append((q[5] if q[4] else None, q[3] if q[2] else None, q[-1], q[0]))
     return out
 
 
@@ -55,6 +63,28 @@ def test_shares_follow_weights(spark):
     assert share["cold"] / share["hot"] == pytest.approx(2, rel=0.02)
 
 
+def test_repeated_rows_ties_and_null_ids(spark, monkeypatch):
+    """A row that makes a third of the table, and many rows without tokens or id at one time, are never in one window."""
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 2)
+    rng = random.Random(5)
+    rows = [(7, "the same row", "en", "s0")] * 100 + [(None, "", "en", "s1")] * 50 + [(None, words(rng, 3), "en", "s2") for _ in range(80)] + [(i, "one", "en", f"own{i}") for i in range(70)]
+    docs = documents(spark, rows)
+    for fraction in (0.05, 0.3, 0.37, 0.8):
+        want = brute(rows, fraction=fraction)
+        assert key(mixing.mix_sources(docs, budget_fraction=fraction).collect()) == key(want)
+        wide = mixing.mixed_documents(docs, budget_fraction=fraction)
+        assert key((r["doc_id"], r["source"]) for r in wide.collect()) == key(r[:2] for r in want)
+
+
+def test_sql(spark):
+    rows = awkward(random.Random(6)) + [(400 + i, "x" * (17 * i) + "\x0by z", "en", f"src{i % 5}") for i in range(40)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r[0], r[1], r[2], r[3]) for r in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"}))
+    for weights in (None, mixing.TARGET_WEIGHTS):
+        got = mixing.mix_sources(documents(spark, rows), weights).select("doc_id", "source", "n_tokens", "virtual_finish").collect()
+        assert key(got) == key(con.execute(mixing.oracle_sql(weights=weights)).fetchall()) == key(brute(rows, weights))
+
+
 def test_sorted(spark):
     rng = random.Random(3)
     out = mixing.mix_sources(documents(spark, [(i, words(rng, 9), "en", f"s{i % 3}") for i in range(100)])).collect()

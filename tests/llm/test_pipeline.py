@@ -1,18 +1,17 @@
-import math
 import os
 import random
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import line_dedup, packing, quality, registry
+from lexigrid.llm import line_dedup, mixing, packing, quality, registry, token_store
 
 from .helpers import documents, words
 from .test_line_dedup import brute as brute_lines
 from .test_mixing import brute as brute_mix
 from .test_packing import brute as brute_pack
-from .test_quality import brute_model
+from .test_quality import brute_cut, brute_model, brute_nll, folds
 from .test_simhash import brute_groups, edited
 
 SF = "/root/testdata/sf0.001"
@@ -42,51 +41,39 @@ def test_stages(spark, tmp_path):
     assert ids("line dedup") == ids("quality") and seen["line dedup"].where(f"contains(text, '{footer}')").count() == 0
     assert not {*range(700, 708)} & ids("near dedup") and ids("near dedup") == ids("line dedup") - {*range(700, 708)}
     assert ids("packing") == ids("mixing") < ids("near dedup")
-    total = {n: seen[n].selectExpr("sum(size(split(trim(text), '\\\\s+')))").first()[0] for n in ("near dedup", "mixing")}
+    total = {n: seen[n].select(token_store.token_count(spark, F.col("text")).alias("n")).selectExpr("sum(n)").first()[0] for n in ("near dedup", "mixing")}
     assert 0.45 * total["near dedup"] < total["mixing"] <= 0.5 * total["near dedup"]
     assert seen["packing"].selectExpr("sum(n_tokens)").first()[0] == total["mixing"]
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, seen["packing"].collect()))
 
 
-def brute_quality(rows, trusted, held):
-    """With too few held-out documents for thresholds of their own: the quantile of all trusted ones."""
-    p, order, seen = brute_model([t for i, t, *_ in rows if i in trusted - held and t], quality.ORDER), quality.ORDER, {}
-
-    def nll(t):
-        if not t:
-            return None
-        b = b"\0" * (order - 1) + t.encode()
-        grams = [b[j : j + order] for j in range(len(t.encode()))]
-        for g in grams:
-            if g not in seen:
-                seen[g] = -math.log2(p(g))
-        return sum(seen[g] for g in grams) / len(grams)
-
-    scores = [nll(r[1]) for r in rows]
-    cut = np.quantile([x for r, x in zip(rows, scores) if r[0] in trusted and x is not None], quality.QUANTILE)
-    return [r for r, x in zip(rows, scores) if x is not None and x <= cut]
+def brute_quality(rows, trusted, fold):
+    p, seen, cuts = brute_model([t for i, t, *_ in rows if i in trusted and t], quality.ORDER), {}, {}
+    for lang in {r[2] for r in rows if r[0] in trusted}:
+        cuts[lang] = brute_cut(rows, trusted, fold, lang, quality.QUANTILE)
+    return [r for r in rows if r[1] and (r[2] not in cuts or brute_nll(p, r[1], seen) <= cuts[r[2]])]
 
 
 def test_run_against_brute_force(spark, tmp_path):
     rng = random.Random(21)
     vocabulary, footer = words(rng, 40, "abcdef").split(), "the same last line on every site"
-    rows = [(i, "\n".join(" ".join(rng.choices(vocabulary, k=9)) for _ in range(4)) + ("\n" + footer if i % 2 else ""), "en", f"s{i // 2 % 11}") for i in range(66)]
+    text = lambda i: "\n".join(" ".join(rng.choices(vocabulary, k=9)) for _ in range(4)) + ("\n" + footer if i % 2 else "")
+    rows = [(i, text(i), "en", f"s{i // 2 % 11}") for i in range(66)] + [(400 + i, text(i), "de" if i < 40 else "fr", f"src{i % 4}") for i in range(50)]
     rows += [(100 + i, edited(rng, rows[3 * i][1].replace(footer, "").strip(), 0.03), "en", f"s{i % 5}") for i in range(9)]
-    rows += [(200 + i, words(rng, 25, "xyz#%"), "en", "s0") for i in range(6)] + [(300, None, "en", "s1"), (301, "", None, "s2"), (302, rows[2][1], "en", None), (303, rows[2][1], "en", "s4")]
-    trusted = set(range(40))
-    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, int(i in trusted), 0) for i in [*range(40), *range(200, 206)]], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    held = {r["id"] for r in spark.range(40).where(f"pmod(xxhash64(id), {quality.HOLD_OUT}) = 0").collect()}
-    assert len(held) < quality.MIN_HELD_OUT
-    good = brute_quality(rows, trusted, held)
+    rows += [(200 + i, words(rng, 25, "xyz#%"), "en", "s0") for i in range(6)] + [(300, None, "en", "s1"), (301, "", None, "s2"), (302, rows[2][1], "en", None), (303, rows[2][1], "en", "s4"), (304, text(0), None, "s5")]
+    trusted = {*range(40), *range(400, 430), *range(440, 445)}
+    documents(spark, rows, clash=True).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i in trusted), 0) for i in [*sorted(trusted), *range(200, 206)]], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = brute_quality(rows, trusted, folds(spark))
     lines = [r[:4] for r in brute_lines(good, line_dedup.MIN_SITES)]
     groups = brute_groups([r[1] for r in lines])
     least: dict[int, int] = {}
     for g, r in zip(groups, lines):
         least[g] = min(least.get(g, r[0]), r[0])
     single = [r for g, r in zip(groups, lines) if least[g] == r[0]]
-    mixed = brute_mix(single)
+    encode, id_bytes = token_store.tokenizer(token_store.TOKENIZER)
+    mixed = brute_mix(single, mixing.TARGET_WEIGHTS, n=lambda t: len(encode([t or ""])[0]) // id_bytes)
     assert len(rows) > len(good) > len(single) > len(mixed) > 10 and good != lines
     order = sorted(mixed, key=lambda r: (-r[2], r[0]))
     want, filled = [], {}
@@ -97,6 +84,12 @@ def test_run_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_empty_tables(spark, tmp_path):
+    documents(spark, [], clash=True).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables aren't here")
 @pytest.mark.parametrize("name", list(registry.queries()))
 def test_queries(spark, name):

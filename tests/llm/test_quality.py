@@ -47,8 +47,11 @@ def test_model_against_brute_force(spark):
     g, _ = Q.grams([t.encode() for t in texts], 4)
     new, _ = Q.grams([b"abz zab xyz cab"], 4)
     c = Counter(g.tolist())
-    table = spark.createDataFrame([(x, c.get(x, 0)) for x in {*c, *new.tolist()}], "g bigint, c bigint")
-    got = {r["g"]: r["p"] for r in Q.kneser_ney(table, 4).collect()}
+    half = Counter({x: n for x, n in c.items() if x % 3})
+    rows = [(0, x, c.get(x, 0), True) for x in {*c, *new.tolist()}] + [(1, x, n, x in new.tolist()) for x, n in half.items()]
+    out = Q.kneser_ney(spark.createDataFrame(rows, "m int, g bigint, c bigint, asked boolean"), 4).collect()
+    assert {r["g"] for r in out if r["m"] == 1} == {*half} & {*new.tolist()}
+    got = {r["g"]: r["p"] for r in out if r["m"] == 0}
     assert got.keys() == {*c, *new.tolist()}
     for x, v in got.items():
         assert v == pytest.approx(p(x.to_bytes(4, "big")), rel=1e-9)
@@ -75,29 +78,39 @@ def corpus(spark, clash=False):
     return rows, documents(spark, rows, clash), labels
 
 
-def held_out(spark):
-    return {r["id"] for r in spark.range(LABELLED).where(f"pmod(xxhash64(id), {Q.HOLD_OUT}) = 0").collect()}
+def folds(spark, n=1000):
+    return {r["id"]: r["f"] for r in spark.range(n).selectExpr("id", f"pmod(xxhash64(id), {Q.FOLDS}) AS f").collect()}
+
+
+def brute_nll(p, text, seen):
+    b = b"\0" * (Q.ORDER - 1) + text.encode()
+    grams = [b[j : j + Q.ORDER] for j in range(len(text.encode()))]
+    for g in grams:
+        if g not in seen:
+            seen[g] = -math.log2(p(g))
+    return sum(seen[g] for g in grams) / len(grams)
+
+
+def brute_cut(rows, trusted, fold, lang, quantile):
+    """The least of a language's cross-validated scores with at least that share of them not above it."""
+    scores = []
+    for k in range(Q.FOLDS):
+        own = [t for i, t, l, *_ in rows if i in trusted and t and fold[i] == k and l == lang]
+        p, seen = brute_model([t for i, t, *_ in rows if i in trusted and t and fold[i] != k], Q.ORDER) if own else None, {}
+        scores += [brute_nll(p, t, seen) for t in own]
+    return np.quantile(scores, quantile, method="inverted_cdf")
 
 
 @pytest.mark.parametrize("limit", [Q.BROADCAST_GRAMS, 0])
 def test_classify(spark, limit):
     rows, docs, labels = corpus(spark)
-    got = {r["doc_id"]: r for r in Q.classify(docs, labels, 0.99, limit).collect()}
-    held = held_out(spark)
-    p = brute_model([t for i, t, *_ in rows if i < LABELLED and i not in held], Q.ORDER)
-    seen: dict = {}
+    got = {r["doc_id"]: r for r in Q.classify(docs, labels, 0.9, limit).collect()}
+    p, seen = brute_model([t for i, t, *_ in rows if i < LABELLED], Q.ORDER), {}
     for i, t, *_ in rows[::29]:
-        b = b"\0" * (Q.ORDER - 1) + t.encode()
-        grams = [b[j : j + Q.ORDER] for j in range(len(t.encode()))]
-        for g in grams:
-            if g not in seen:
-                seen[g] = p(g)
-        assert got[i]["perplexity"] == pytest.approx(2 ** (-sum(math.log2(seen[g]) for g in grams) / len(grams)), rel=1e-9)
+        assert math.log2(got[i]["perplexity"]) == pytest.approx(brute_nll(p, t, seen), rel=1e-9)
         assert got[i]["keep"] == (got[i]["perplexity"] <= got[i]["threshold"])
-    assert len(held) >= Q.MIN_HELD_OUT
-    cut = np.quantile(np.log2([got[i]["perplexity"] for i in held]), 0.99)
-    assert math.log2(got[0]["threshold"]) == pytest.approx(cut)
-    kept = Q.keep_good(docs, labels, 0.99, limit)
+    assert math.log2(got[0]["threshold"]) == pytest.approx(brute_cut(rows, set(range(LABELLED)), folds(spark), "en", 0.9))
+    kept = Q.keep_good(docs, labels, 0.9, limit)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["keep"])
 
 
@@ -147,16 +160,22 @@ def test_small_and_unlabelled_languages(spark):
     got = {r["doc_id"]: r for r in Q.classify(docs, labels, Q.QUANTILE).collect()}
     assert all(got[i]["keep"] and got[i]["threshold"] is None for i in range(300, 320))
     assert sum(got[i]["keep"] for i in range(230, 260)) > 15 and not any(got[i]["keep"] for i in range(400, 405))
-    fold = {r["id"]: r["f"] for r in spark.range(500).selectExpr("id", f"pmod(xxhash64(id), {Q.HOLD_OUT}) AS f").collect()}
-    assert sum(fold[i] == 0 for i in range(200, 230)) < Q.MIN_HELD_OUT <= sum(fold[i] == 0 for i in trusted)
-    scores = []
-    for k in range(Q.HOLD_OUT):
-        p, seen = brute_model([t for i, t, *_ in rows if i in trusted and fold[i] != k], Q.ORDER), {}
-        for i, t, *_ in rows:
-            if 200 <= i < 230 and fold[i] == k:
-                b = b"\0" * (Q.ORDER - 1) + t.encode()
-                grams = [b[j : j + Q.ORDER] for j in range(len(t))]
-                scores.append(sum(-math.log2(seen.setdefault(g, None) or seen.update({g: p(g)}) or seen[g]) for g in grams) / len(grams))
-    assert math.log2(got[200]["threshold"]) == pytest.approx(np.quantile(scores, Q.QUANTILE), rel=1e-9)
+    fold = folds(spark)
+    for i, lang in ((0, "en"), (200, "es")):
+        assert math.log2(got[i]["threshold"]) == pytest.approx(brute_cut(rows, trusted, fold, lang, Q.QUANTILE), rel=1e-9)
     kept = Q.keep_good(docs, labels, Q.QUANTILE)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["keep"])
+
+
+def test_thresholds_are_made_alike_at_every_size(spark):
+    """With one trusted document or many: each is scored by a model of the other folds."""
+    rng = random.Random(9)
+    sizes, rows = {"en": 30, "de": 1, "fr": 2, "es": 19, "pt": 20, "it": 21}, []
+    for lang, n in sizes.items():
+        rows += [(len(rows) + i, words(rng, 15, "abcd"), lang, "s") for i in range(n)]
+    trusted = {r[0] for r in rows}
+    rows += [(500 + i, words(rng, 15, "abcd"), lang, "s") for i, lang in enumerate(sizes)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in sorted(trusted)], LABELS)
+    cut = {r["lang"]: r["threshold"] for r in Q.classify(documents(spark, rows), labels, 0.9).collect()}
+    for lang in sizes:
+        assert math.log2(cut[lang]) == pytest.approx(brute_cut(rows, trusted, folds(spark), lang, 0.9), rel=1e-9)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lexigrid.llm import simhash
 from lexigrid.llm.words import word_hashes
@@ -8,6 +9,12 @@ from lexigrid.llm.words import word_hashes
 from .helpers import CLASHING, awkward, documents, words
 
 
+def brute_links(texts):
+    s = [simhash.signature(w) for w in word_hashes(texts)]
+    near = lambda a, b: bin(int(a[0]) ^ int(b[0])).count("1") <= simhash.RADIUS and sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(a, b)) <= simhash.RADIUS_ALL
+    return [sum(near(a, b) for j, b in enumerate(s) if i != j) for i, a in enumerate(s)]
+
+
 def brute_groups(texts, radius=simhash.RADIUS, radius_all=simhash.RADIUS_ALL):
     s = [simhash.signature(w) for w in word_hashes(texts)]
     wordy = [len(w) > 0 for w in word_hashes(texts)]
@@ -60,14 +67,17 @@ def test_tiles_skip_by_bit_count():
     assert len(simhash.near_pairs(low, high, 12, 256)[0]) == 0 and len(simhash.near_pairs(low, high, 64, 256)[0]) == 25
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("pairs", [simhash.BROADCAST_PAIRS, 0])
+def test_groups_against_brute_force(spark, pairs, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_PAIRS", pairs)
     texts = corpus()
     docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
-    want = brute_groups(texts)
+    want, links = brute_groups(texts), brute_links(texts)
+    assert max(links) > 2
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     assert len(got) == len(texts) and len(set(want)) < len(texts) - 20
     for i, g in enumerate(want):
-        assert got[i]["group_id"] == g and got[i]["keep"] == (i == g) and got[i]["group_size"] == want.count(g)
+        assert got[i]["group_id"] == g and got[i]["keep"] == (i == g) and got[i]["group_size"] == want.count(g) and got[i]["n_links"] == links[i]
     kept = simhash.keep_one(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
@@ -88,7 +98,7 @@ def test_awkward(spark):
     for r in out:
         by.setdefault(r["doc_id"], []).append(r)
     assert all(r["keep"] and r["group_size"] == 1 for i in (100, 101, 102) for r in by[i])
-    assert sorted(r["keep"] for r in by[105]) == [False, True]
+    assert sorted(r["keep"] for r in by[105]) == [False, True] and all(r["n_links"] == 1 for r in by[105]) and by[101][0]["n_links"] == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
