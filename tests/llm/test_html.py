@@ -1,5 +1,8 @@
 import random
+import time
+from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.llm import html_templates as H
@@ -25,14 +28,67 @@ def site(n=12):
     return [(f"https://a.org/{i}", page(i)) for i in range(n)] + [(f"http://B.org:80/{i}?q", page(100 + i)) for i in range(3)]
 
 
-def brute(pairs, min_pages, min_chars):
-    """Template subtrees counted in one place."""
-    count: dict[int, int] = {}
-    for u, h in pairs:
-        for k in H.subtree_hashes(h, H.host_of(u), min_chars):
-            count[k] = count.get(k, 0) + 1
-    bad = {k for k, n in count.items() if n >= min_pages}
-    return [H.page_text(h, H.host_of(u), bad if H.host_of(u) else None) for u, h in pairs]
+class Reader(HTMLParser):
+    """A tree of well-formed pages: [name, attributes, children]."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", (), []]
+        self.stack = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, tuple(attrs), []]
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(" ".join(data.split()))
+
+
+def chars(node):
+    return len(node) if isinstance(node, str) else sum(map(chars, node[2]))
+
+
+def below(node):
+    yield node
+    for x in node[2]:
+        if not isinstance(x, str):
+            yield from below(x)
+
+
+def brute(pairs, min_pages, min_chars, share):
+    """By another parser, subtrees compared as they are."""
+    trees = [Reader(h).root for _, h in pairs]
+    urls, holders = {}, {}
+    for (u, _), tree in zip(pairs, trees):
+        host = u.split("/")[2]
+        urls.setdefault(host, set()).add(u)
+        for x in below(tree):
+            if x[0] not in ("", "html", "body", "head") and chars(x) >= min_chars:
+                holders.setdefault((host, repr(x)), set()).add(u)
+    bad = {k for k, v in holders.items() if len(v) >= min_pages and len(v) >= share * len(urls[k[0]])}
+
+    def lines(node, host, gone):
+        if (host, repr(node)) in bad:
+            gone.append(node)
+            return
+        for x in node[2]:
+            if isinstance(x, str):
+                if x:
+                    yield x
+            else:
+                yield from lines(x, host, gone)
+
+    out = []
+    for (u, _), tree in zip(pairs, trees):
+        gone: list = []
+        text = "\n".join(lines(tree, u.split("/")[2], gone))
+        out.append((text, len(gone)))
+    return out
 
 
 def test_template_goes_content_stays(spark):
@@ -43,15 +99,31 @@ def test_template_goes_content_stays(spark):
     assert got[12]["text"].startswith("Home of the site\nAbout all of us\nTitle & 100") and got[12]["host"] == "b.org" and got[12]["n_removed"] == 0
 
 
-def test_both_ways_and_brute_force_agree(spark):
+@pytest.mark.parametrize("share", [0.0, 0.6, 0.9])
+def test_both_ways_and_brute_force_agree(spark, share):
+    """Pages fetched several times, some with other content, count once."""
     rng = random.Random(3)
-    bits = [f"<div class=c{i}>repeated block {i} here</div>" for i in range(6)]
-    pairs = [(f"https://h{rng.randint(0, 2)}.net/", page(i, "".join(rng.sample(bits, 3)), rng.choice(bits))) for i in range(60)]
+    bits = [f"<div class=c{i}><p>repeated block {i} here</p></div>" for i in range(6)]
+    whole = lambda i: f"<html><body>{''.join(rng.sample(bits, 3))}<section><p>own text {i} here</p></section>{rng.choice(bits)}</body></html>"
+    pairs = [(f"https://h{rng.randint(0, 2)}.net/{i // 2}", whole(i)) for i in range(90)]
+    pairs += [pairs[0]] * 12 + [(pairs[1][0], whole(500)) for _ in range(12)]
     df = spark.createDataFrame(rows(pairs), SCHEMA)
-    want = sorted((i, *x) for i, x in enumerate(brute(pairs, 10, 16)))
+    want = sorted((i, *x) for i, x in enumerate(brute(pairs, 10, 16, share)))
     for limit in (H.BROADCAST_HASHES, 0):
-        assert sorted((r["page_id"], r["text"], r["n_removed"]) for r in H.extract(df, broadcast_hashes=limit).collect()) == want
-    assert any(n for _, _, n in want)
+        assert sorted((r["page_id"], r["text"], r["n_removed"]) for r in H.extract(df, broadcast_hashes=limit, min_share=share).collect()) == want
+    assert any(n for _, _, n in want) == (share < 0.9)
+
+
+def test_one_page_fetched_often_keeps_its_article(spark):
+    df = spark.createDataFrame(rows([("https://a.org/x", page(1).replace("text number", f"visit number {i // 4} today"[:14])) for i in range(20)] + [(f"https://a.org/x#{i}", page(1)) for i in range(20)]), SCHEMA)
+    assert all(r["n_removed"] == 0 and "Title & 1" in r["text"] for r in H.extract(df).collect())
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<div>", "</b>", "<a '\">' ", "<a \"> x \"", "<!-- ", "<![CDATA[", "<script>", "<p title='", "<? ", "&amp;", "<li><p>"])
+def test_parser_is_linear(bad):
+    start = time.time()
+    H.page_text("<div>" * 100_000 + bad * 200_000 + "</b>" * 100_000, "h", None)
+    assert time.time() - start < 12
 
 
 def test_parser_mends():
@@ -66,7 +138,7 @@ def test_parser_mends():
 
 
 def test_awkward(spark):
-    copies = [("https://c.org/", "<body><div>the whole page is a copy</div></body>")] * 12
+    copies = [(f"https://c.org/{i}", "<body><div>the whole page is a copy</div></body>") for i in range(12)]
     pairs = [(None, page(1)), ("not a url", page(2)), ("https://d.org", None), ("https://d.org", ""), *copies]
     df = spark.createDataFrame(rows(pairs) + [(None, "https://d.org", "<p>no id", "x", "x", "x")], SCHEMA)
     for limit in (H.BROADCAST_HASHES, 0):
