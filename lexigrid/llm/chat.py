@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Roles that aren't speakers: their turns keep their role in every rendering.
 FRAME_ROLES = ("system", "tool")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+ASSISTANT, USER = "assistant", "user name="
 NO_ROLE = "unknown"
 
 
@@ -23,42 +24,49 @@ def rotate(turns: DataFrame, frame_roles: tuple[str, ...] = FRAME_ROLES) -> Data
     "assistant", the others' "user name=<role>", those of frame_roles their role. mask lists the spans that are trained on,
     as "start-end" offsets into text, joined by commas, end excluded: each text of the speaker with its CLOSE.
 
-    Nulls: a null conv_id is no conversation, its rows are left out; a null or blank role is the speaker "unknown"; a null
+    Nulls: a null conv_id is no conversation, its rows are left out; a null or blank role is the speaker "unknown"; line feeds
+    in a role are blanks, so that it can't end its header; a null
     text is empty; a null turn comes first. An empty text is a turn all the same. Ties in turn go by role, then by text.
     Repeated rows are turns each for itself. A conversation of frame turns alone has no speaker and no row. An empty table
     gives an empty result. Texts of any length are kept whole. Other columns aren't read.
     """
-    role = F.coalesce(F.nullif(F.trim(F.col("role")), F.lit("")), F.lit(NO_ROLE))
-    rows = turns.where("conv_id IS NOT NULL").select("conv_id", F.struct(F.col("turn").alias("turn"), _clean(role).alias("role"), _clean(F.col("text")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    speakers = F.array_distinct(F.filter(F.transform("ts", lambda t: t["role"]), lambda r: ~r.isin(list(frame_roles))))
+    frame = list(frame_roles)
+    role = F.coalesce(F.nullif(F.trim(F.translate("role", "\n\r", "  ")), F.lit("")), F.lit(NO_ROLE))
+    rows = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", _clean(role).alias("role"), _clean(F.col("text")).alias("text"))
+    # Where each turn ends if nobody is the assistant. A speaker's own headers are all of one length, so where a turn ends for
+    # them follows from how many turns of theirs stand before.
+    named = F.when(F.col("role").isin(frame), F.length("role")).otherwise(F.length("role") + len(USER))
+    end = F.sum((named + F.length("text") + len(OPEN) + len(CLOSE) + 2).cast("bigint")).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0))
+    whole = rows.withColumn("end", end).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "end"))).alias("ts"))
+    speakers = F.array_distinct(F.filter(F.transform("ts", lambda t: t["role"]), lambda r: ~r.isin(frame)))
     each = whole.select("conv_id", "ts", F.explode(speakers).alias("speaker"))
 
     def header(t: Column) -> Column:
-        return F.when(t["role"].isin(list(frame_roles)), t["role"]).when(t["role"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), t["role"]))
+        return F.when(t["role"].isin(frame), t["role"]).when(t["role"] == F.col("speaker"), F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER), t["role"]))
 
-    pieces = F.transform("ts", lambda t: F.struct(F.concat(F.lit(OPEN), header(t), F.lit("\n")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
-    each = each.select("conv_id", "speaker", pieces.alias("ps"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    def span(t: Column, nth: Column) -> Column:
+        stop = t["end"] - 1 - (nth + 1) * (F.length("speaker") + len(USER) - len(ASSISTANT))
+        return F.concat_ws("-", (stop - F.length(t["text"]) - len(CLOSE)).cast("string"), stop.cast("string"))
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["head"])
-        end = begin + F.length(p["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(p["own"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+    text = F.array_join(F.transform("ts", lambda t: F.concat(F.lit(OPEN), header(t), F.lit("\n"), t["text"], F.lit(CLOSE + "\n"))), "")
+    mask = F.array_join(F.transform(F.filter("ts", lambda t: t["role"] == F.col("speaker")), span), ",")
+    return each.select("conv_id", "speaker", text.alias("text"), mask.alias("mask")).select("conv_id", "speaker", "text", F.length("text").alias("n_chars"), "mask")
 
-    text = F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
-    return each.select("conv_id", "speaker", text.alias("text"), F.length(text).alias("n_chars"), F.aggregate("ps", start, step)["spans"].alias("mask")).select(
-        "conv_id", "speaker", "text", "n_chars", F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",").alias("mask")
-    )
 
+def several_users(turns: DataFrame) -> DataFrame:
+    """turns whose users are three persons in turn, as conversations of more than two."""
+    return turns.withColumn("role", F.when(F.col("role") == "user", F.concat(F.lit("user"), (F.floor(F.col("turn") / 2) % 3).cast("string"))).otherwise(F.col("role")))
 
-def oracle_sql(frame_roles: tuple[str, ...] = FRAME_ROLES) -> str:
-    """The same in DuckDB's SQL, over the table conversations."""
+
+SEVERAL_USERS = "(SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' || CAST(turn // 2 % 3 AS VARCHAR) ELSE role END AS role, text FROM conversations)"
+
+
+def oracle_sql(frame_roles: tuple[str, ...] = FRAME_ROLES, conversations: str = "conversations") -> str:
+    """The same in DuckDB's SQL, over the table conversations or another like it."""
     frames = ", ".join(f"'{r}'" for r in frame_roles)
     return f"""
-WITH t AS (SELECT conv_id, turn, replace(coalesce(nullif(trim(role), ''), '{NO_ROLE}'), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
-           FROM conversations WHERE conv_id IS NOT NULL),
+WITH t AS (SELECT conv_id, turn, replace(coalesce(nullif(trim(translate(role, chr(10) || chr(13), '  ')), ''), '{NO_ROLE}'), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
+           FROM {conversations} WHERE conv_id IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role NOT IN ({frames})),
 p AS (SELECT n.conv_id, s.speaker, i, role = speaker AS own, text || '{CLOSE}' AS body,
