@@ -3,7 +3,7 @@
 Vectors are projected by a Gaussian matrix to a few dimensions. For two vectors at distance d the squared distance of their
 projections is d**2 times a chi-square variable. A kd-tree over the projections gives ever farther leaves; a leaf's vectors
 are verified by their true distances, and the search of a query ends when the next leaf is so far that a vector at the
-present k-th distance would have been met before it with probability CONFIDENCE.
+present k-th distance, divided by RATIO, would have been met before it with probability CONFIDENCE.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ from lexigrid.llm.common import saved
 
 K = 10
 DIMENSIONS = 8
-CONFIDENCE = 0.8
-#: Vectors of a cell (one task's tree), as a mean; cells grow beyond MAX_CELLS, whose boxes every task holds.
+CONFIDENCE = 0.95
+#: With probability CONFIDENCE a found k-th distance is at most so many times the true one.
+RATIO = 1.05
+#: Vectors of a cell (one task's tree), as a mean; cells grow beyond MAX_CELLS, whose boxes (128 bytes each) every task holds.
 CELL = 8192
-MAX_CELLS = 20_000
+MAX_CELLS = 200_000
 LEAF = 32
 #: Queries and leaves that are verified by one product.
-_QUERIES, _LEAVES = 128, 16
+_QUERIES, _LEAVES = 16, 8
+#: Queries times cells whose distances are held at once.
+_REACH = 1 << 22
 #: Rows that place the cells' borders. They are layout alone: boxes are those of all rows, and every row is searched.
 BORDER_ROWS = 65_536
 SEED = 7
@@ -125,6 +129,11 @@ class Tree:
         order = np.concatenate(leaves)
         self.ids, self.vectors = ids[order], vectors[order]
         self.start = np.concatenate([[0], np.cumsum([len(r) for r in leaves])])
+        # (-2x, |x|^2, 1) by (q, 1, |q|^2) gives squared distances by one product, in single precision.
+        own = (self.vectors * self.vectors).sum(axis=1)
+        self.rough = np.column_stack([-2 * self.vectors, own, np.ones(len(own))]).astype(np.float32)
+        self.largest = float(own.max(initial=0))
+        self.verified = 0
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of each query's k nearest here, by (distance, id), filled up with (-1, inf); without the
@@ -132,18 +141,26 @@ class Tree:
         n = len(q)
         best = np.full((n, k), np.inf)
         who = np.full((n, k), -1, np.int64)
+        p = q @ self.projection
+        # Queries that begin in the same leaf stand together, so that they visit the same leaves.
+        near = np.concatenate([box_distances(p[a : a + 1024], self.low, self.high).argmin(axis=1) for a in range(0, n, 1024)]) if n else np.zeros(0, int)
+        turn = np.argsort(near, kind="stable")
         for a in range(0, n, _QUERIES):
-            part = slice(a, min(n, a + _QUERIES))
-            self._search(q_ids[part], q[part], k, factor, np.full(part.stop - a, np.inf) if bound is None else bound[part], best[part], who[part])
+            part = turn[a : a + _QUERIES]
+            b, w = best[part], who[part]
+            self._search(q_ids[part], q[part], p[part], k, factor, np.full(len(part), np.inf) if bound is None else bound[part], b, w)
+            best[part], who[part] = b, w
         return who, best
 
-    def _search(self, q_ids, q, k, factor, bound, best, who) -> None:
+    def _search(self, q_ids, q, p, k, factor, bound, best, who) -> None:
         """Some queries at a time, so that a leaf's vectors are verified for all of them by one product of matrices. Leaves
         come in the order of their least distance from any of the queries, and are skipped where every query's search has
         ended; each query's test is its own."""
-        far = box_distances(q @ self.projection, self.low, self.high)
+        far = box_distances(p, self.low, self.high)
         order = np.argsort(far.min(axis=0), kind="stable")
         own = (q * q).sum(axis=1)
+        asked = np.column_stack([q, np.ones(len(q)), own]).astype(np.float32)
+        slack = (4e-6 * (own + self.largest)).astype(np.float32)  # rounding of the product; what passes is measured again
         for at in range(0, len(order), _LEAVES):
             leaves = order[at : at + _LEAVES]
             # The stopping test: a vector within the k-th distance would lie beyond this leaf's distance too rarely.
@@ -152,23 +169,23 @@ class Tree:
             if not len(leaves):
                 continue
             rows = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in leaves])
-            x, ids = self.vectors[rows], self.ids[rows]
-            rough = own[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
-            slack = 1e-9 * (own[:, None] + 1)  # rounding of the product; what passes is measured again
-            i, j = np.nonzero((rough <= worst[:, None] + slack) & (ids[None, :] != q_ids[:, None]))
-            if len(i) > 4 * k * len(q):  # at first everything passes: keep what can be among the k nearest of these leaves
-                kth = np.partition(np.where(ids[None, :] != q_ids[:, None], rough, np.inf), min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-                near = rough[i, j] <= kth[i] + slack[i, 0]
-                i, j = i[near], j[near]
-            diff = x[j] - q[i]
+            self.verified += len(rows) * len(q)
+            rough = asked @ self.rough[rows].T
+            limit = (worst + slack).astype(np.float32)
+            if np.isinf(limit).any():  # at first everything passes: keep what can be among the k nearest of these leaves
+                m = min(k, rough.shape[1] - 1)  # one more than k, as the query itself may be here
+                limit = np.minimum(limit, np.partition(rough, m, axis=1)[:, m] + 2 * slack)
+            i, j = np.nonzero(rough <= limit[:, None])
+            x, ids = self.vectors[rows[j]], self.ids[rows[j]]
+            diff = x - q[i]
             d = (diff * diff).sum(axis=1)
-            ok = d <= worst[i]
-            i, j, d = i[ok], j[ok], d[ok]
+            ok = (d <= worst[i]) & (ids != q_ids[i])
+            i, d, ids = i[ok], d[ok], ids[ok]
             if not len(i):
                 continue
             some = np.unique(i)
             row = np.concatenate([np.repeat(some, k), i])
-            dist, name = np.concatenate([best[some].ravel(), d]), np.concatenate([who[some].ravel(), ids[j]])
+            dist, name = np.concatenate([best[some].ravel(), d]), np.concatenate([who[some].ravel(), ids])
             sort = np.lexsort((name, dist, row))
             row, dist, name = row[sort], dist[sort], name[sort]
             first = np.searchsorted(row, some)[:, None] + np.arange(k)[None, :]
@@ -180,13 +197,14 @@ def _array(column: pd.Series, dim: int) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, cell: int = CELL, seed: int = SEED
+    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, ratio: float = RATIO, cell: int = CELL, seed: int = SEED, every: int = 1
 ) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): for every vector its k nearest others by Euclidean distance, approximately.
+    """(vec_id, rank, neighbor_id, distance): for queries the k nearest others among all vectors by Euclidean distance,
+    approximately. Queries are the vectors whose id is divisible by `every`, so all of them for 1.
 
-    A top kd-tree parts the vectors into cells. Each cell's vectors search their own cell; every other cell whose box lies
-    within the stopping test's reach is then searched with the distance found as a bound, and the results merged. A true
-    neighbour is missed with probability under 1 - confidence.
+    A top kd-tree parts the vectors into cells. A cell's queries search their own cell; every other cell whose box lies
+    within the stopping test's reach is then searched with the distance found as a bound, and the results merged. With
+    probability `confidence` or more a k-th distance found is at most `ratio` times the true one.
 
     Nulls: rows with a null id or vector, a null or not finite component, or another length than most vectors have are
     left out. Empty vectors likewise. Ties in distance go by id. Of rows with the same id the one with the least vector
@@ -204,7 +222,7 @@ def nearest(
     dim, n = sizes["d"], sizes["count"]
     rows = rows.where(F.size("v") == dim)
     projection = np.random.default_rng(seed).standard_normal((dim, dimensions))
-    factor = chi_square_quantile(confidence, dimensions)
+    factor = chi_square_quantile(confidence, dimensions) / ratio**2
     cell = max(cell, -(-n // MAX_CELLS))
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // BORDER_ROWS))) == 0).toArrow() if n > cell else None
     nodes = []
@@ -227,11 +245,19 @@ def nearest(
     data = placed.select("cell", "id", "v")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _array(pdf["v"], dim), pdf["id"].to_numpy()
-        who, best = Tree(ids, x, projection).search(ids, x, k, factor)
-        reach = box_distances(x @ projection, low, high) <= factor * best[:, -1:]
-        reach[:, numbers == pdf["cell"].iloc[0]] = False
-        return pd.DataFrame({"id": ids, "v": pdf["v"], "bound": best[:, -1], "who": list(who), "best": list(best), "targets": [numbers[r] for r in reach]})
+        ids, here = pdf["id"].to_numpy(), pdf["cell"].iloc[0]
+        ask = np.flatnonzero(ids % every == 0)
+        if not len(ask):
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"id": ids[:0], "v": none, "bound": np.zeros(0), "who": none, "best": none, "targets": none})
+        x = _array(pdf["v"], dim)
+        who, best = Tree(ids, x, projection).search(ids[ask], x[ask], k, factor)
+        p, step, targets = x[ask] @ projection, max(1, _REACH // len(numbers)), []
+        for a in range(0, len(ask), step):
+            reach = box_distances(p[a : a + step], low, high) <= factor * best[a : a + step, -1:]
+            reach[:, numbers == here] = False
+            targets += [numbers[r] for r in reach]
+        return pd.DataFrame({"id": ids[ask], "v": pdf["v"].iloc[ask].to_numpy(), "bound": best[:, -1], "who": list(who), "best": list(best), "targets": pd.Series(targets, dtype=object)})
 
     first = saved(data.groupBy("cell").applyInPandas(own, "id bigint, v array<float>, bound double, who array<bigint>, best array<double>, targets array<int>"), "own-cells")
     guests = first.select("id", "v", "bound", F.explode("targets").alias("cell"))

@@ -12,7 +12,8 @@ from lexigrid.llm.common import table
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"))
+    """Queries are the vectors whose id is divisible by 50, each against all vectors."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def chat_several_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's operator on dialogues of more than two, which the table lacks: its users are three persons."""
+    return chat.rotate(chat.several_users(table(spark, sf_dir, "conversations")))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,10 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_nearest_neighbours, op2_simhash_near_dedup, op3_token_shards, op4_best_fit_packing, op5_html_text, op6_winnowing, op7_chat_perspectives, op8_quality_classifier, op9_mix_sources, op10_line_dedup]
+    own = [op1_nearest_neighbours, op2_simhash_near_dedup, op3_token_shards, op4_best_fit_packing, op5_html_text, op6_winnowing, op7_chat_perspectives, chat_several_users, op8_quality_classifier, op9_mix_sources, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """None for 1 to 6 and 8: they are compared with brute force in tests/llm."""
-    return {"op7_chat_perspectives": chat.oracle_sql(), "op9_mix_sources": mixing.oracle_sql(weights=mixing.TARGET_WEIGHTS), "op10_line_dedup": line_dedup.oracle_sql()}
+    return {"op7_chat_perspectives": chat.oracle_sql(), "chat_several_users": chat.oracle_sql(conversations=chat.SEVERAL_USERS), "op9_mix_sources": mixing.oracle_sql(weights=mixing.TARGET_WEIGHTS), "op10_line_dedup": line_dedup.oracle_sql()}
