@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import U64, mix, small_batches
+from lexigrid.llm.common import U64, mix, saved, small_batches
 from lexigrid.llm.lookup import place
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Documents of a shard, as a mean.
-SHARD_DOCS = 4096
+#: Bytes of text of a shard, as a mean.
+SHARD_BYTES = 16 << 20
 #: Distinct pieces whose ids a worker remembers, about 100 bytes each; when full it starts anew.
 MEMORY_PIECES = 400_000
 #: How byte-level BPE files with ranks alone split text before merging (the public GPT-2 expression).
@@ -158,41 +159,62 @@ class ShardIndex:
 
 
 class TokenStore:
-    """Keyed access to the files of write_store: a fixed number of reads a document, whatever the size of the store."""
+    """Keyed access to the files of write_store: two reads a document, whatever the size of the store, and one more a shard."""
 
     def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
-        self.meta = json.loads((self.folder / "store.json").read_text())
-        self._open: dict[int, tuple[ShardIndex, np.ndarray]] = {}
+        self._fs, self._folder = _file_system(folder)
+        self.meta = json.loads(self._read("store.json"))
+        self._indexes: dict[int, ShardIndex] = {}
+
+    def _read(self, name: str) -> bytes:
+        with self._fs.open_input_file(f"{self._folder}/{name}") as f:
+            return f.read()
 
     def __getitem__(self, doc_id: int) -> np.ndarray:
         shard = int(shard_of(np.array([doc_id]), self.meta["shards"])[0])
-        if shard not in self._open:
-            index, payload = self.folder / f"{shard:06d}.idx", self.folder / f"{shard:06d}.bin"
-            if not index.exists():
+        if shard not in self._indexes:
+            if self._fs.get_file_info(f"{self._folder}/{shard:06d}.idx").type == fs.FileType.NotFound:
                 raise KeyError(doc_id)
-            ids = np.memmap(payload, f"<u{self.meta['id_bytes']}", "r") if payload.stat().st_size else np.zeros(0, f"<u{self.meta['id_bytes']}")
-            self._open[shard] = ShardIndex(index.read_bytes()), ids
-        index, ids = self._open[shard]
+            self._indexes[shard] = ShardIndex(self._read(f"{shard:06d}.idx"))
+        index, size = self._indexes[shard], self.meta["id_bytes"]
         slot = index.slot(doc_id)
         if slot < 0:
             raise KeyError(doc_id)
-        at = int(index.offsets[slot])
-        return ids[at : at + int(index.lengths[slot])]
+        with self._fs.open_input_file(f"{self._folder}/{shard:06d}.bin") as f:
+            return np.frombuffer(f.read_at(int(index.lengths[slot]) * size, int(index.offsets[slot]) * size), f"<u{size}")
+
 
+def _once(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of rows with the same doc_id that with the longest text in bytes, of equals that with the greatest hash;
+    of rows alike one. Only rows of repeated ids are compared; where none repeats nothing is shuffled but ids."""
+    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    again = saved(keyed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return keyed
+    mark = F.struct(F.coalesce(F.octet_length("text"), F.lit(-1)), F.coalesce(F.xxhash64("text"), F.lit(0)))
+    repeated = keyed.join(again, "doc_id").withColumn("mark", mark)
+    best = saved(repeated.groupBy("doc_id").agg(F.max("mark").alias("best")), "longest")
+    kept = repeated.join(best, "doc_id").where("mark = best").groupBy("doc_id").agg(F.first("text").alias("text"))
+    return keyed.join(again, "doc_id", "left_anti").unionByName(kept)
 
-def token_shards(docs: DataFrame, tokenizer_path: str = TOKENIZER, shard_docs: int = SHARD_DOCS, shards: int | None = None) -> DataFrame:
+
+def token_shards(docs: DataFrame, tokenizer_path: str = TOKENIZER, shard_bytes: int = SHARD_BYTES, shards: int | None = None) -> DataFrame:
     """(shard, n_docs, n_tokens, id_bytes, payload, index): the ids of all texts, one row a shard.
 
     payload is the documents' ids one after the other, little-endian, id_bytes each; index finds a document's offset and
-    length in ids (ShardIndex). A document's shard is shard_of(doc_id, number of shards). Ids are shuffled, texts aren't.
+    length in ids (ShardIndex). A document's shard is shard_of(doc_id, number of shards); there are as many shards as the
+    texts' bytes ask for, so that texts of any length make shards of alike sizes. Ids are shuffled, texts aren't.
 
     Nulls: a null doc_id is no key, its row is left out; a null text has no ids, as an empty one, and is found all the same.
-    Of rows with the same doc_id the one with most ids is kept, of equals that with the least bytes; so repeated rows are
-    stored once. An empty table gives an empty result. Texts of any length are encoded whole. Other columns aren't read.
+    Of rows with the same doc_id the one with the longest text in bytes is kept, of equals that with the greatest hash; so
+    repeated rows are stored once. An empty table gives an empty result. Texts are encoded whole; one text's ids must fit the
+    2 GB of a binary value. Other columns aren't read.
     """
     small_batches(docs.sparkSession)
-    shards = shards or max(1, -(-docs.count() // shard_docs))
+    keyed = _once(docs)
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, -(-size // shard_bytes))
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = tokenizer(tokenizer_path)
@@ -204,15 +226,13 @@ def token_shards(docs: DataFrame, tokenizer_path: str = TOKENIZER, shard_docs: i
                 yield pa.RecordBatch.from_arrays([pa.array(shard_of(ids.to_numpy(zero_copy_only=False), shards), pa.int32()), ids, pa.array(rows, pa.binary())], ["shard", "doc_id", "ids"])
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        id_bytes = tokenizer(tokenizer_path)[1] if not tokenizer_path.endswith(".tiktoken") else _id_bytes(tokenizer_path)
-        rows["n"] = rows["ids"].map(len)
-        rows = rows.sort_values(["doc_id", "n", "ids"], ascending=[True, False, True], kind="stable").drop_duplicates("doc_id")
-        lengths = rows["n"].to_numpy(np.int64) // id_bytes
+        size = id_bytes(tokenizer_path)
+        rows = rows.sort_values("doc_id", kind="stable")
+        lengths = rows["ids"].map(len).to_numpy(np.int64) // size
         offsets = np.cumsum(lengths) - lengths
         index = build_index(rows["doc_id"].to_numpy(np.int64), offsets, lengths)
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "n_docs": [len(rows)], "n_tokens": [int(lengths.sum())], "id_bytes": [id_bytes], "payload": [b"".join(rows["ids"])], "index": [index]})
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "n_docs": [len(rows)], "n_tokens": [int(lengths.sum())], "id_bytes": [size], "payload": [b"".join(rows["ids"])], "index": [index]})
 
-    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return keyed.mapInArrow(encode_rows, "shard int, doc_id bigint, ids binary").groupBy("shard").applyInPandas(build, SCHEMA)
 
 
@@ -229,21 +249,37 @@ def token_count(spark: SparkSession, text: Column, tokenizer_path: str = TOKENIZ
     return count.asNondeterministic()(text)  # else a filter on it would encode every text twice
 
 
-def _id_bytes(path: str) -> int:
-    return 2 if max(int(line.split()[1]) for line in Path(path).read_bytes().splitlines() if line) < 1 << 16 else 4
+def id_bytes(path: str) -> int:
+    if path.endswith(".tiktoken"):  # without building the tables
+        return 2 if max(int(line.split()[1]) for line in Path(path).read_bytes().splitlines() if line) < 1 << 16 else 4
+    return tokenizer(path)[1]
 
 
-def write_store(shards: DataFrame, folder: str, number: int, id_bytes: int) -> None:
-    """The rows of token_shards as <shard>.bin and <shard>.idx in a folder that all executors reach. A repeated task writes the
-    same files again; each appears whole, by renaming."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """Of a path or a URI of any file system that Arrow knows: file, hdfs, s3, gs."""
+    found, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else Path(folder).absolute().as_uri())
+    return found, path.rstrip("/")
+
+
+def write_store(shards: DataFrame, folder: str, number: int, size: int) -> None:
+    """The rows of token_shards as <shard>.bin and <shard>.idx in a folder that all executors reach; number of shards and bytes of an
+    id. A repeated task writes the same files again; each appears whole, by renaming, and store.json last."""
+    _file_system(folder)[0].create_dir(_file_system(folder)[1], recursive=True)
 
     def write(rows: Iterator) -> None:
+        system, at = _file_system(folder)
         for r in rows:
             for name, data in (("bin", r["payload"]), ("idx", r["index"])):
-                new = Path(folder) / f".{r['shard']:06d}.{name}.{os.getpid()}"
-                new.write_bytes(data)
-                new.rename(Path(folder) / f"{r['shard']:06d}.{name}")
+                _put(system, f"{at}/{r['shard']:06d}.{name}", data)
 
     shards.foreachPartition(write)
-    (Path(folder) / "store.json").write_text(json.dumps({"shards": number, "id_bytes": id_bytes}))
+    system, at = _file_system(folder)
+    _put(system, f"{at}/store.json", json.dumps({"shards": number, "id_bytes": size}).encode())
+
+
+def _put(system: fs.FileSystem, path: str, data: bytes) -> None:
+    folder, name = path.rsplit("/", 1)
+    new = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(new) as f:
+        f.write(data)
+    system.move(new, path)

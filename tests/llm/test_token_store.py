@@ -55,17 +55,29 @@ def test_round_trip(spark, tmp_path):
     want: dict[int, list] = {}
     for i, t, *_ in rows:
         if i is not None:
-            ids = one(t or "")
-            want[i] = max(want.get(i, []), ids, key=len)
-    for i, ids in want.items():
-        assert store[i].tolist() == ids
+            want[i] = max(want.get(i, ""), t or "", key=lambda x: len(x.encode()))
+    for i, t in want.items():
+        assert store[i].tolist() == one(t)
     with pytest.raises(KeyError):
         store[999_999]
     out = shards.select("n_docs", "n_tokens").collect()
-    assert sum(r["n_docs"] for r in out) == len(want) and sum(r["n_tokens"] for r in out) == sum(map(len, want.values()))
+    assert sum(r["n_docs"] for r in out) == len(want) and sum(r["n_tokens"] for r in out) == sum(len(one(t)) for t in want.values())
     assert ts.token_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_by_bytes_and_repeated_ids(spark, tmp_path):
+    """Few long texts make as many shards as many short ones; an id that a third of all rows have is stored once."""
+    rng = random.Random(3)
+    docs = documents(spark, [(i, words(rng, 20_000), "en", "s") for i in range(12)] + [(i % 5 + 50, f"text {i % 2}", "en", "s") for i in range(300)] + [(77, "hot row", "en", "s")] * 300)
+    shards = ts.token_shards(docs, shard_bytes=200_000)
+    out = shards.select("shard", "n_docs").collect()
+    assert 5 <= len(out) <= 9 and sum(r["n_docs"] for r in out) == 18
+    number = -(-docs.selectExpr("sum(octet_length(text))").first()[0] // 200_000)
+    ts.write_store(shards, f"file://{tmp_path}/store", number, ts.id_bytes(ts.TOKENIZER))
+    store, one = ts.TokenStore(f"file://{tmp_path}/store"), plain(ts.TOKENIZER)
+    assert store[77].tolist() == one("hot row") and store[50].tolist() in (one("text 0"), one("text 1"))
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_other_tokenizers(spark, name):
     path = os.path.join(os.path.dirname(ts.TOKENIZER), name)
