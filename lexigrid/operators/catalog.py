@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexigrid.functions.text import printable
 from lexigrid.functions.timestamps import nanoseconds, seconds
 from lexigrid.operators.store import PostingStore
+from lexigrid.schema import STORED
 
 
 def lookup(postings: DataFrame, mailbox: str, attr: str, term: str, ts: int, id: str) -> DataFrame:  # noqa: A002
@@ -32,10 +34,10 @@ def index_meta(postings: DataFrame) -> DataFrame:
 
 def store_meta(store: PostingStore) -> DataFrame:
     """index_meta of a store, with the number of files that hold a list and when the store last changed."""
-    files = store.stored(file=True).groupBy("mailbox", "attr", "term").agg(F.countDistinct("file").alias("num_files"))
-    gens = store.generations()
-    last = max(((g["sec"], g["nsec"]) for g in gens), default=(0, 0))
-    return index_meta(store.read()).join(files, ["mailbox", "attr", "term"], "left").withColumns({"generation_sec": F.lit(last[0]).cast("bigint"), "generation_nsec": F.lit(last[1]).cast("bigint")})
+    commits = store.commits()
+    files = store.stored(file=True, commits=commits).groupBy("mailbox", "attr", "term").agg(F.countDistinct("file").alias("num_files"))
+    last = max(((g["sec"], g["nsec"]) for g in commits), default=(0, 0))
+    return index_meta(store.read(commits=commits)).join(files, ["mailbox", "attr", "term"], "left").withColumns({"generation_sec": F.lit(last[0]).cast("bigint"), "generation_nsec": F.lit(last[1]).cast("bigint")})
 
 
 def pages(store: PostingStore) -> DataFrame:
@@ -44,6 +46,13 @@ def pages(store: PostingStore) -> DataFrame:
     return rows.groupBy("file").agg(F.count("*").alias("num_keys"), F.min("k").alias("first"), F.max("k").alias("last"))
 
 
+def page_dump(spark: SparkSession, file: str) -> DataFrame:
+    """(place, mailbox, attr, term, ts, id, bucket, key, positions, deleted): what one file holds in its order, of a store or a copy of
+    a file elsewhere, replaced postings and tombstones included."""
+    rows = spark.read.schema(StructType([f for f in STORED.fields if f.name != "shard"])).parquet(file)
+    return rows.withColumn("place", F.col("_metadata.row_index")).select("place", *rows.columns).orderBy("place")
+
+
 def dump(postings: DataFrame) -> DataFrame:
     """A printable line a posting."""
     return postings.select(F.format_string("id: %s, url: %s:%s, ts: %d.%d, positions: %s", printable(F.col("id")), printable(F.coalesce("bucket", F.lit(""))), printable(F.coalesce("key", F.lit(""))), seconds(F.col("ts")), nanoseconds(F.col("ts")), F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")).alias("line"))

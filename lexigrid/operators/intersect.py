@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.operators.rank import literal_map
 from lexigrid.plans.request import Cookie, Terms
 
 
@@ -19,10 +20,10 @@ def _among(lists: tuple[tuple[str, str], ...]) -> Column:
 
 
 def _ordinal(lists: tuple[tuple[str, str], ...]) -> Column:
-    out = F.lit(None).cast("int")
-    for i, (attr, term) in reversed(list(enumerate(lists))):
-        out = F.when((F.col("attr") == attr) & (F.col("term") == term), F.lit(i)).otherwise(out)
-    return out
+    table: dict[str, dict[str, int]] = {}
+    for i, (attr, term) in enumerate(lists):
+        table.setdefault(attr, {})[term] = i
+    return F.coalesce(*[F.when(F.col("attr") == attr, literal_map(own, F.col("term"))) for attr, own in table.items()])
 
 
 def from_cookie(cookie: Cookie | None) -> Column:
@@ -35,7 +36,7 @@ def from_cookie(cookie: Cookie | None) -> Column:
 def intersect(postings: DataFrame, mailbox: str, terms: Terms, cookie: Cookie | None = None, positions: bool = True) -> DataFrame:
     """(ts, id, bucket, key, indexes): documents that every list of terms holds, unordered.
 
-    postings must hold an identity once. indexes are the lists' parts in order of request; bucket and key are those of the
+    An identity that postings hold several times counts once. indexes are the lists' parts in order of request; bucket and key are those of the
     first. No list, or an unknown term, gives no row. One shuffle, on (ts, id), after partial aggregation; filters and the
     columns needed reach the scan. positions False leaves the positions unread.
     """
@@ -46,8 +47,10 @@ def intersect(postings: DataFrame, mailbox: str, terms: Terms, cookie: Cookie |
         empty = postings.where((F.col("mailbox") == mailbox) & _among(terms.lists) & from_cookie(cookie))
         ordinal = _ordinal(terms.lists)
     part = [ordinal.alias("ord"), "attr", "term", *(["positions"] if positions else [])]
-    grouped = empty.groupBy("ts", "id").agg(F.count("*").alias("n"), F.min(F.struct(ordinal.alias("ord"), "bucket", "key")).alias("first"), F.array_sort(F.collect_list(F.struct(*part))).alias("indexes"))
-    return grouped.where(F.col("n") == len(terms.lists)).select("ts", "id", "first.bucket", "first.key", "indexes")
+    grouped = empty.groupBy("ts", "id").agg(F.min(F.struct(ordinal.alias("ord"), "bucket", "key")).alias("first"), F.array_sort(F.collect_list(F.struct(*part))).alias("indexes"))
+    # Sorted by ordinal, so of rows with the same one the first stays.
+    once = F.filter("indexes", lambda x, i: (i == 0) | (x["ord"] != F.get("indexes", i - 1)["ord"]))
+    return grouped.withColumn("indexes", once).where(F.size("indexes") == len(terms.lists)).select("ts", "id", "first.bucket", "first.key", "indexes")
 
 
 def count_matches(postings: DataFrame, mailbox: str, terms: Terms) -> DataFrame:
@@ -55,7 +58,7 @@ def count_matches(postings: DataFrame, mailbox: str, terms: Terms) -> DataFrame:
     if not terms.lists:
         return postings.where(F.lit(False)).agg(F.count("*").alias("n"))
     own = postings.where((F.col("mailbox") == mailbox) & _among(terms.lists))
-    return own.groupBy("ts", "id").agg(F.count("*").alias("lists")).where(F.col("lists") == len(terms.lists)).agg(F.count("*").alias("n"))
+    return own.groupBy("ts", "id").agg(F.size(F.collect_set(_ordinal(terms.lists))).alias("lists")).where(F.col("lists") == len(terms.lists)).agg(F.count("*").alias("n"))
 
 
 def intersect_by_joins(postings: DataFrame, mailbox: str, terms: Terms) -> DataFrame:
@@ -74,5 +77,5 @@ def intersect_batch(postings: DataFrame, queries: DataFrame, broadcast_rows: int
     sizes = queries.groupBy("qid").agg(F.count("*").alias("lists"))
     asked = queries.join(sizes, "qid")
     hit = postings.select("mailbox", "attr", "term", "ts", "id", "bucket", "key").join(F.broadcast(asked) if small else asked, ["mailbox", "attr", "term"])
-    grouped = hit.groupBy("qid", "ts", "id").agg(F.count("*").alias("n"), F.first("lists").alias("lists"), F.min(F.struct("ord", "bucket", "key")).alias("first"))
+    grouped = hit.groupBy("qid", "ts", "id").agg(F.size(F.collect_set("ord")).alias("n"), F.first("lists").alias("lists"), F.min(F.struct("ord", "bucket", "key")).alias("first"))
     return grouped.where("n = lists").select("qid", "ts", "id", "first.bucket", "first.key")

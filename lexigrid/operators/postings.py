@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.functions.text import words
-from lexigrid.schema import IDENTITY, POSTINGS
+from lexigrid.schema import POSTINGS
 
 Analyzer = Callable[[Column], Column]
+#: Values whose words are grouped at once.
+_ROWS = 1000
+_OWN = ["mailbox", "attr", "ts", "id", "bucket", "key"]
 
 
 def tokenize(values: DataFrame, analyzer: Analyzer = words) -> DataFrame:
@@ -18,13 +24,42 @@ def tokenize(values: DataFrame, analyzer: Analyzer = words) -> DataFrame:
     return values.select("mailbox", "id", "bucket", "key", "ts", "attr", F.posexplode(analyzer(F.col("value"))).alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with an array of words -> a row a distinct word, with its positions in the array."""
+    for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+        lists = batch.column("words")
+        terms = lists.flatten()
+        if not len(terms):
+            continue
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        coded = terms.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key = row * (len(coded.dictionary) + 1) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        one = order[first]
+        offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+        own = batch.select([c for c in batch.schema.names if c != "words"]).take(pa.array(row[one]))
+        columns = dict(zip(own.schema.names, own.columns)) | {"term": coded.dictionary.take(pa.array(code[one])), "positions": pa.ListArray.from_arrays(offsets, pa.array(pos[order].astype(np.int64)))}
+        names = [*POSTINGS.fieldNames(), *(["ord"] if "ord" in columns else [])]
+        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+
 def postings(values: DataFrame, analyzer: Analyzer = words) -> DataFrame:
-    """values -> postings: per document, attribute and word the ascending positions. One shuffle, on the posting's identity.
+    """values -> postings: per row and distinct word the ascending positions. No shuffle, as a posting is of one row.
+
+    A document that comes more than once gives its postings each time; a column ord is passed on, by which the store takes the
+    last. Null and empty values, and those without words, give nothing."""
+    ordered = [T.StructField("ord", T.LongType())] if "ord" in values.columns else []
+    split = values.select(*_OWN, *[f.name for f in ordered], analyzer(F.col("value")).alias("words"))
+    return split.mapInArrow(_grouped, T.StructType([*POSTINGS.fields, *ordered]))
+
 
-    If a document's identity (mailbox, ts, id) comes more than once in values, its attribute's positions are joined and the
-    least (bucket, key) counts."""
-    grouped = tokenize(values, analyzer).groupBy(*IDENTITY).agg(F.min(F.struct("bucket", "key")).alias("url"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("mailbox", "attr", "term", "ts", "id", "url.bucket", "url.key", "positions").to(POSTINGS)
+def arrived(values: DataFrame) -> DataFrame:
+    """values with ord, their places in the batch."""
+    return values.withColumn("ord", F.monotonically_increasing_id())
 
 
 def index_name(mailbox: Column, attr: Column, term: Column) -> Column:
@@ -33,5 +68,5 @@ def index_name(mailbox: Column, attr: Column, term: Column) -> Column:
 
 
 def shard_route(mailbox: Column, shards: int) -> Column:
-    """The shard, 0 to shards - 1, that a mailbox is routed to."""
-    return F.pmod(F.hash(mailbox), F.lit(shards))
+    """The shard, 0 to shards - 1, that a mailbox is routed to: the first 32 bits of its MD5 sum, modulo their number."""
+    return F.pmod(F.conv(F.substring(F.md5(mailbox), 1, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")

@@ -9,20 +9,31 @@ from pyspark.sql import functions as F
 
 from lexigrid.plans.request import Terms
 
-#: A local rank is coded as one character, so that the edit distance of sequences is that of strings. char() is modulo 256.
-_FIRST = 33
-MAX_RANK = 255 - _FIRST
+#: A local rank is coded as one character, so that the edit distance of sequences is that of strings. There are as many as code
+#: points, less controls and surrogates: over a million.
+_FIRST, _GAP = 33, range(0xD800, 0xE000)
+
+
+def _char(rank: int) -> str:
+    point = _FIRST + rank
+    return chr(point if point < _GAP.start else point + len(_GAP))
 
 
 def _coded(ranks: tuple[int, ...]) -> str:
-    return "".join(chr(_FIRST + r) for r in ranks)
+    return "".join(map(_char, ranks))
 
 
-def _rank_of(terms: Terms) -> Column:
-    out = F.lit(None).cast("int")
+def _char_of(terms: Terms) -> Column:
+    """The character of a list's local rank. A map literal, as long chains of conditions overflow the stack of the optimizer."""
+    table: dict[str, dict[str, str]] = {}
     for (attr, term), r in terms.local_rank().items():
-        out = F.when((F.col("x.attr") == attr) & (F.col("x.term") == term), F.lit(r)).otherwise(out)
-    return out
+        table.setdefault(attr, {})[term] = _char(r)
+    return F.coalesce(*[F.when(F.col("x.attr") == attr, literal_map(own, F.col("x.term"))) for attr, own in table.items()])
+
+
+def literal_map(table: dict, key: Column) -> Column:
+    """table[key], null if it isn't there."""
+    return F.element_at(F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values()))), key)
 
 
 def relevance(hits: DataFrame, terms: Terms, combine: str = "last") -> DataFrame:
@@ -39,18 +50,16 @@ def relevance(hits: DataFrame, terms: Terms, combine: str = "last") -> DataFrame
     attrs = list(terms.ivec)
     if not attrs:
         return hits.select("ts", "id", F.lit(0.0).alias("relevance")).where(F.lit(False))
-    if max(max(v) for v in terms.ivec.values()) > MAX_RANK or max(terms.local_rank().values()) > MAX_RANK:
-        raise ValueError(f"over {MAX_RANK} different words in an attribute")
     used = attrs[-1:] if combine == "last" else attrs
     length, asked = F.lit(None).cast("int"), F.lit(None).cast("string")
     for a in used:
         length = F.when(F.col("attr") == a, F.lit(len(terms.ivec[a]))).otherwise(length)
         asked = F.when(F.col("attr") == a, F.lit(_coded(terms.ivec[a]))).otherwise(asked)
     flat = hits.select("ts", "id", F.explode("indexes").alias("x")).where(F.col("x.attr").isin(used))
-    flat = flat.select("ts", "id", F.col("x.attr").alias("attr"), _rank_of(terms).alias("r"), F.explode("x.positions").alias("pos"))
+    flat = flat.select("ts", "id", F.col("x.attr").alias("attr"), _char_of(terms).alias("r"), F.explode("x.positions").alias("pos"))
     doc = ["ts", "id", "attr"]
     flat = flat.withColumns({"run": F.col("pos") - F.row_number().over(Window.partitionBy(*doc).orderBy("pos")), "hits": F.count("*").over(Window.partitionBy(*doc))})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: F.char(x["r"] + _FIRST)), "")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]), "")
     runs = flat.groupBy(*doc, "run").agg(text.alias("d"), F.first("hits").alias("hits")).withColumns({"len": length, "asked": asked})
     windows = runs.select(*doc, "hits", "len", "asked", "d", F.explode(F.sequence(F.lit(0), F.greatest(F.length("d") - F.col("len") + 1, F.lit(0)))).alias("at"))
     distance = F.levenshtein("asked", F.substring(F.col("d"), F.col("at") + 1, F.col("len")))

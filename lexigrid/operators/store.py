@@ -1,8 +1,10 @@
 """Postings on a file system: append-only generations, last write wins, tombstones, compaction.
 
-Layout under a table's path: data/gen=<n>/shard=<s>/*.parquet and commits/<n>.json. A generation is visible once its commit
-file stands; it is written whole and then renamed into place, so readers see all of a batch or nothing, and two writers of
-the same generation can't both succeed. A commit may replace earlier generations (compaction); their files stay until
+Layout under a table's path: data/<uuid>/shard=<s>/*.parquet and commits/<n>.json. A writer fills a folder of its own and then
+creates the next commit file, which names the folder; readers open only folders that commits name. So readers see all of a
+batch or nothing, a writer that dies leaves a folder that nobody reads, and of two writers at once each gets a number of its
+own: file systems create a file that doesn't exist for one of them only, and the other takes the next number. A commit file
+that its writer didn't finish counts as none. A commit may replace earlier generations (compaction); their files stay until
 vacuum(), as readers may still use them.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 import zlib
 from functools import reduce
 
@@ -20,6 +23,9 @@ from pyspark.sql import types as T
 from lexigrid.config import EngineConfig
 from lexigrid.schema import IDENTITY, POSTINGS, STORED
 
+#: What orders writes of a posting when rows are read: the generation, or of a compacted one the last that it replaced.
+SEQ = T.StructField("seq", T.LongType())
+
 
 def shard_of(term: str, shards: int) -> int:
     """The same on the driver as shard_column in a plan; so a query's terms name the directories to read."""
@@ -30,6 +36,10 @@ def shard_column(term: Column, shards: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(shards)).cast("int")
 
 
+class Conflict(RuntimeError):
+    """Another writer replaced what this one read."""
+
+
 class PostingStore:
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None) -> None:
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or EngineConfig()
@@ -37,7 +47,7 @@ class PostingStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # -- commits -------------------------------------------------------------------------------------------------------
+    # -- commits ------
 
     def _read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
@@ -47,105 +57,140 @@ class PostingStore:
         finally:
             stream.close()
 
-    def commits(self) -> list[dict]:
-        """All commits by generation."""
+    def _commit_numbers(self) -> list[int]:
         folder = self._path(f"{self.path}/commits")
         if not self._fs.exists(folder):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        return [json.loads(self._read(f"{self.path}/commits/{n}")) for n in names if n.endswith(".json")]
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def generations(self) -> list[dict]:
+    def commits(self) -> list[dict]:
+        """All finished commits by generation."""
+        out = []
+        for n in self._commit_numbers():
+            try:
+                out.append(json.loads(self._read(f"{self.path}/commits/{n:012d}.json")))
+            except ValueError:  # its writer is still at it, or died
+                continue
+        return out
+
+    def generations(self, commits: list[dict] | None = None) -> list[dict]:
         """The commits in force: those that no later one replaces."""
-        all_ = self.commits()
+        all_ = self.commits() if commits is None else commits
         gone = {g for c in all_ for g in c["replaces"]}
         return [c for c in all_ if c["gen"] not in gone]
 
     def exists(self) -> bool:
         return bool(self.commits())
 
-    def _commit(self, gen: int, kind: str, replaces: list[int]) -> dict:
-        now = time.time_ns()
-        commit = {"gen": gen, "kind": kind, "replaces": replaces, "sec": now // 10**9, "nsec": now % 10**9, "shards": self.config.shards}
+    def _commit(self, folder: str, kind: str, replaces: list[int], shards: int, tag: str | None) -> dict:
         self._fs.mkdirs(self._path(f"{self.path}/commits"))
-        name = f"{self.path}/commits/{gen:012d}.json"
-        try:
-            out = self._fs.create(self._path(name), False)  # fails if another writer was first
-        except Exception as e:
-            raise RuntimeError(f"generation {gen} was committed by another writer") from e
-        out.write(json.dumps(commit).encode())
-        out.close()
-        return commit
-
-    def _next(self) -> int:
-        all_ = self.commits()
-        return all_[-1]["gen"] + 1 if all_ else 1
-
-    def _shards(self) -> int:
-        all_ = self.commits()
-        return all_[0]["shards"] if all_ else self.config.shards
-
-    def _write(self, rows: DataFrame, kind: str, replaces: list[int]) -> dict:
+        while True:
+            in_force = {c["gen"] for c in self.generations()}
+            if not in_force.issuperset(replaces):
+                raise Conflict(f"{sorted(set(replaces) - in_force)} were replaced by another writer")
+            gen, now = max(self._commit_numbers(), default=0) + 1, time.time_ns()
+            commit = {"gen": gen, "seq": max(replaces, default=gen), "kind": kind, "replaces": replaces, "folder": folder, "sec": now // 10**9, "nsec": now % 10**9, "shards": shards, "tag": tag}
+            try:
+                out = self._fs.create(self._path(f"{self.path}/commits/{gen:012d}.json"), False)
+            except Exception:
+                if gen in self._commit_numbers():  # another writer was first
+                    continue
+                raise
+            out.write(json.dumps(commit).encode())
+            out.close()
+            return commit
+
+    def _shards(self, commits: list[dict]) -> int:
+        return commits[0]["shards"] if commits else self.config.shards
+
+    def _write(self, rows: DataFrame, kind: str, replaces: list[int], commits: list[dict], tag: str | None = None) -> dict:
+        """rows: postings with deleted, and ord where an identity may come more than once; its greatest counts.
+
+        One shuffle, by ranges of the whole identity, so that a frequent term's postings are many tasks' work."""
         if self.config.read_only:
             raise PermissionError(f"{self.path} was opened for reading")
-        gen, shards = self._next(), self._shards()
-        rows = rows.withColumn("shard", shard_column(F.col("term"), shards)).select(*STORED.fieldNames())
-        spread = rows.repartition("shard", "term") if kind != "compact" else rows.repartitionByRange("shard", "mailbox", "attr", "term", "ts", "id")
-        spread = spread.sortWithinPartitions("shard", "mailbox", "attr", "term", "ts", "id")
-        new = f"{self.path}/data/.gen={gen}"
-        spread.write.mode("overwrite").option("compression", self.config.codec).option("maxRecordsPerFile", self.config.page_rows).partitionBy("shard").parquet(new)
-        if not self._fs.rename(self._path(new), self._path(f"{self.path}/data/gen={gen}")):
-            raise RuntimeError(f"generation {gen} was written by another writer")
-        return self._commit(gen, kind, replaces)
-
-    # -- writes --------------------------------------------------------------------------------------------------------
-
-    def append(self, postings: DataFrame) -> dict:
-        """Insert or replace postings; one atomic generation a call."""
-        return self._write(postings.select(*POSTINGS.fieldNames(), F.lit(self._next()).cast("bigint").alias("seq"), F.lit(False).alias("deleted")), "append", [])
+        shards, key = self._shards(commits), ["shard", *IDENTITY]
+        rows = rows.withColumn("shard", shard_column(F.col("term"), shards))
+        spread = rows.repartitionByRange(*key)
+        if "ord" in rows.columns:
+            rest = [c for c in STORED.fieldNames() if c not in key]
+            spread = spread.groupBy(*key).agg(F.max_by(F.struct(*rest), "ord").alias("v")).select(*key, "v.*")
+        spread = spread.select(*STORED.fieldNames()).sortWithinPartitions(*key)
+        folder = uuid.uuid4().hex
+        spread.write.option("compression", self.config.codec).option("maxRecordsPerFile", self.config.page_rows).partitionBy("shard").parquet(f"{self.path}/data/{folder}")
+        return self._commit(folder, kind, replaces, shards, tag)
+
+    # -- writes ------
+
+    def append(self, postings: DataFrame, tag: str | None = None) -> dict:
+        """Insert or replace postings; one atomic generation a call. Of an identity that comes more than once the row with the
+        greatest ord counts, any if there is no such column. tag: a name for the batch; if it was committed, nothing is done."""
+        commits = self.commits()
+        if tag is not None and (done := [c for c in commits if c.get("tag") == tag]):
+            return done[0]
+        order = F.col("ord") if "ord" in postings.columns else F.lit(0)
+        return self._write(postings.select(*POSTINGS.fieldNames(), F.lit(False).alias("deleted"), order.alias("ord")), "append", [], commits, tag)
 
     def delete(self, keys: DataFrame, report_missing: bool = True) -> DataFrame:
         """keys (mailbox, attr, term, ts, id): remove these postings. Gives the keys that weren't there, read when asked for from
         the generations before this one, so before a vacuum() that deletes those."""
+        commits = self.commits()
         keys = keys.select(*IDENTITY).distinct()
-        missing = keys.join(self.read().select(*IDENTITY), IDENTITY, "left_anti") if report_missing else keys.limit(0)
-        tombs = keys.select(*IDENTITY, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "string"), ("key", "string"), ("positions", "array<bigint>"))], F.lit(self._next()).cast("bigint").alias("seq"), F.lit(True).alias("deleted"))
-        self._write(tombs, "delete", [])
+        missing = keys.join(self.read(commits=commits).select(*IDENTITY), IDENTITY, "left_anti") if report_missing else keys.limit(0)
+        tombs = keys.select(*IDENTITY, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "string"), ("key", "string"), ("positions", "array<bigint>"))], F.lit(True).alias("deleted"))
+        self._write(tombs, "delete", [], commits)
         return missing
 
     def compact(self) -> dict | None:
-        """Rewrite what is in force as one generation, sorted, without replaced and deleted postings."""
-        old = self.generations()
+        """Rewrite what is in force as one generation, sorted, without replaced and deleted postings. Conflict if another writer
+        compacted meanwhile; what was appended meanwhile stays in force above it."""
+        commits = self.commits()
+        old = self.generations(commits)
         if not old or (len(old) == 1 and old[0]["kind"] == "compact"):
             return None
-        rows = self.read().select(*POSTINGS.fieldNames(), F.lit(self._next()).cast("bigint").alias("seq"), F.lit(False).alias("deleted"))
-        return self._write(rows, "compact", [c["gen"] for c in old])
-
-    def vacuum(self) -> list[int]:
-        """Delete the files of replaced generations, which no reader may use any more, and return their numbers."""
-        gone = sorted({g for c in self.commits() for g in c["replaces"]})
-        return [g for g in gone if self._fs.delete(self._path(f"{self.path}/data/gen={g}"), True)]
-
-    # -- reads ---------------------------------------------------------------------------------------------------------
-
-    def stored(self, terms: list[str] | None = None, file: bool = False) -> DataFrame:
-        """All stored rows in force, replaced ones included; with terms only their shards' directories are read. file: with
-        the path of each row's file."""
-        gens = self.generations()
+        return self._write(self.read(commits=commits).withColumn("deleted", F.lit(False)), "compact", [c["gen"] for c in old], commits)
+
+    def vacuum(self, orphans_after: float | None = None) -> list[int]:
+        """Delete the files of replaced generations, which no reader may use any more, and return their numbers. orphans_after:
+        also folders that no commit names and that nothing was added to for so many seconds, left by writers that died."""
+        commits = self.commits()
+        gone = {g for c in commits for g in c["replaces"]}
+        out = [c["gen"] for c in commits if c["gen"] in gone and self._fs.delete(self._path(f"{self.path}/data/{c['folder']}"), True)]
+        data = self._path(f"{self.path}/data")
+        if orphans_after is not None and self._fs.exists(data):
+            named = {c["folder"] for c in commits}
+            for s in self._fs.listStatus(data):
+                if s.getPath().getName() not in named and time.time() - s.getModificationTime() / 1000 >= orphans_after:
+                    self._fs.delete(s.getPath(), True)
+        return out
+
+    # -- reads ------
+
+    def stored(self, terms: list[str] | None = None, file: bool = False, commits: list[dict] | None = None) -> DataFrame:
+        """All stored rows in force with seq, replaced ones included; with terms only their shards' directories are read. file:
+        with the path of each row's file. commits: what was read of them, so that a search reads them once."""
+        commits = self.commits() if commits is None else commits
+        gens = self.generations(commits)
         if not gens:
-            return self.spark.createDataFrame([], T.StructType([*STORED.fields, T.StructField("file", T.StringType())]) if file else STORED)
-        parts = [self.spark.read.schema(STORED).option("basePath", f"{self.path}/data/gen={g['gen']}").parquet(f"{self.path}/data/gen={g['gen']}") for g in gens]
-        if file:  # a union has no metadata column
-            parts = [p.select("*", F.col("_metadata.file_path").alias("file")) for p in parts]
+            return self.spark.createDataFrame([], T.StructType([*STORED.fields, SEQ, *([T.StructField("file", T.StringType())] if file else [])]))
+        parts = []
+        for g in gens:
+            folder = f"{self.path}/data/{g['folder']}"
+            rows = self.spark.read.schema(STORED).option("basePath", folder).parquet(folder)
+            more = [F.col("_metadata.file_path").alias("file")] if file else []  # a union has no metadata column
+            parts.append(rows.select("*", F.lit(g["seq"]).cast("bigint").alias("seq"), *more))
         rows = reduce(DataFrame.unionByName, parts)
         if terms is not None:
-            rows = rows.where(F.col("shard").isin(sorted({shard_of(t, self._shards()) for t in terms})) & F.col("term").isin(list(terms)))
+            shards = self._shards(commits)
+            rows = rows.where(F.col("shard").isin(sorted({shard_of(t, shards) for t in terms})) & F.col("term").isin(list(terms)))
         return rows
 
-    def read(self, terms: list[str] | None = None) -> DataFrame:
+    def read(self, terms: list[str] | None = None, commits: list[dict] | None = None) -> DataFrame:
         """Postings in force, each identity once. Of one compacted or appended generation that needs no shuffle."""
-        rows, gens = self.stored(terms), self.generations()
-        if len(gens) <= 1:
+        commits = self.commits() if commits is None else commits
+        rows = self.stored(terms, commits=commits)
+        if len(self.generations(commits)) <= 1:
             return rows.where("NOT deleted").select(*POSTINGS.fieldNames())
         return latest(rows).select(*POSTINGS.fieldNames())
 

@@ -15,10 +15,10 @@ from lexigrid.functions.timestamps import unpack_py
 from lexigrid.operators import catalog
 from lexigrid.operators.intersect import intersect, intersect_batch
 from lexigrid.operators.paging import page, top_k
-from lexigrid.operators.postings import Analyzer, postings
-from lexigrid.operators.rank import ranked
+from lexigrid.operators.postings import Analyzer, arrived, postings
+from lexigrid.operators.rank import has_phrase, ranked
 from lexigrid.operators.store import PostingStore
-from lexigrid.plans.request import BadRequest, SearchRequest
+from lexigrid.plans.request import BadRequest, SearchRequest, Terms
 from lexigrid.schema import IDENTITY
 from lexigrid.sources import requests
 
@@ -43,14 +43,26 @@ class Engine:
         self.spark, self.config, self.analyzer, self.combine = spark, config or EngineConfig(), analyzer, combine
         self.store = PostingStore(spark, path, self.config)
 
+    def terms(self, request: SearchRequest) -> Terms:
+        """The request's words, by the analyzer that documents are indexed with."""
+        if self.analyzer is words:
+            return request.terms
+        texts = list(request.query.values())
+        if not texts:
+            return request.terms
+        row = self.spark.range(1).select(*[self.analyzer(F.lit(t)).alias(f"a{i}") for i, t in enumerate(texts)]).first()
+        split = dict(zip(texts, row))
+        return request.words_by(lambda t: list(split[t] or []))
+
     def ping(self) -> bool:
         return self.spark.range(1).count() == 1
 
     # -- writing -------------------------------------------------------------------------------------------------------
 
-    def index_values(self, values: DataFrame) -> dict:
-        """A batch of attribute values (schema.VALUES); all or nothing becomes visible."""
-        return self.store.append(postings(values, self.analyzer))
+    def index_values(self, values: DataFrame, tag: str | None = None) -> dict:
+        """A batch of attribute values (schema.VALUES); all or nothing becomes visible. A posting that comes more than once is that
+        of the last value, as if they were indexed one after the other. tag: see PostingStore.append."""
+        return self.store.append(postings(arrived(values), self.analyzer), tag)
 
     def index(self, requests_: DataFrame, text: str = "value") -> dict:
         """A batch of JSON index requests, one a row. BadRequest if no document in it is valid."""
@@ -77,29 +89,42 @@ class Engine:
     # -- reading -------------------------------------------------------------------------------------------------------
 
     def postings(self, request: SearchRequest) -> DataFrame:
-        return self.store.read([t for _, t in request.terms.lists])
+        return self.store.read([t for _, t in self.terms(request).lists])
 
     def matches(self, request: SearchRequest, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """All documents that match, from the request's cookie on, unordered and unranked."""
-        found = intersect(self.postings(request), request.mailbox, request.terms, request.cookie)
+        terms = self.terms(request)
+        found = intersect(self.store.read([t for _, t in terms.lists]), request.mailbox, terms, request.cookie)
         return found.transform(finish) if finish else found
 
+    def _ranked(self, request: SearchRequest, hits: DataFrame, phrase: bool) -> DataFrame:
+        return ranked(hits, self.terms(request), request.combine or self.combine, phrase and request.match == "phrase")
+
+    def results(self, request: SearchRequest, finish: Callable[[DataFrame], DataFrame] | None = None, phrase: bool = False) -> DataFrame:
+        """All matches from the request's cookie on, most relevant first, whatever its num: a DataFrame, nothing of which comes to
+        the driver."""
+        return self._ranked(request, self.matches(request, finish), phrase)
+
     def search(self, request: SearchRequest | str, finish: Callable[[DataFrame], DataFrame] | None = None, phrase: bool = False) -> SearchResult:
-        """A page of the matches by (ts, id), then ranked within itself."""
+        """A page of the matches by (ts, id), then ranked within itself. Without a num all matches come to the driver, as rows of
+        the result; results() leaves them where they are."""
         if isinstance(request, str):
             request = SearchRequest.from_json(request)
-        if not request.terms.lists:
+        if not self.terms(request).lists:
             return SearchResult([], True, request.start)
         num = request.num
-        rows = page(self.matches(request, finish), None if num is None else num + 1).collect()
+        if num is None:
+            hits = self.results(request, finish, phrase).collect()
+            return SearchResult(hits, True, "" if hits else request.start)
+        found = self.matches(request, finish)
+        rows = page(found, num + 1).collect()
         if not rows:
             return SearchResult([], True, request.start)
-        completed = num is None or len(rows) <= num
+        completed = len(rows) <= num
         start = "" if completed else f"{rows[num]['ts']}:{rows[num]['id']}"
         hits = rows if completed else rows[:num]
         if hits:
-            schema = self.matches(request, finish).schema
-            hits = ranked(self.spark.createDataFrame(hits, schema), request.terms, self.combine, phrase and request.match == "phrase").collect()
+            hits = self._ranked(request, self.spark.createDataFrame(hits, found.schema), phrase).collect()
         return SearchResult(hits, completed, start)
 
     def pages(self, request: SearchRequest):
@@ -109,15 +134,15 @@ class Engine:
             yield result
             if result.completed or not request.num:
                 return
-            request = SearchRequest(request.mailbox, request.query, request.num, result.start, request.match)
+            request = request.at(result.start)
 
     def best(self, request: SearchRequest, k: int) -> DataFrame:
         """The k most relevant of all matches, as an extension."""
-        return top_k(ranked(self.matches(request), request.terms, self.combine), k)
+        return top_k(self.results(request), k)
 
     def search_many(self, requests_: dict[str, SearchRequest]) -> DataFrame:
         """(qid, ts, id, bucket, key) of many requests, by one scan."""
-        rows = [(q, r.mailbox, a, t, i) for q, r in requests_.items() for i, (a, t) in enumerate(r.terms.lists)]
+        rows = [(q, r.mailbox, a, t, i) for q, r in requests_.items() for i, (a, t) in enumerate(self.terms(r).lists)]
         asked = self.spark.createDataFrame(rows, "qid string, mailbox string, attr string, term string, ord int")
         return intersect_batch(self.store.read(sorted({r[3] for r in rows})), asked)
 
@@ -127,12 +152,19 @@ class Engine:
     def lookup(self, mailbox: str, attr: str, term: str, ts: int, id: str) -> DataFrame:  # noqa: A002
         return catalog.lookup(self.store.read([term]), mailbox, attr, term, ts, id)
 
+    def phrases(self, request: SearchRequest) -> DataFrame:
+        """The matches in which every attribute's words stand next to each other in order, as an extension."""
+        return self.matches(request).where(has_phrase(self.terms(request)))
+
     def meta(self) -> DataFrame:
         return catalog.store_meta(self.store)
 
     def page_files(self) -> DataFrame:
         return catalog.pages(self.store)
 
+    def page_dump(self, file: str) -> DataFrame:
+        return catalog.page_dump(self.spark, file)
+
     def never_fewer(self, request: SearchRequest, before: int) -> int:
         """How many documents match now; an error if they are fewer than before, though none was removed."""
         n = self.matches(request).select(F.count("*")).first()[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from lexigrid.functions.text import words_py
 
@@ -73,17 +73,28 @@ class Terms:
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """num None: no limit. match: accepted; "phrase" has an effect only where the caller asks for that extension."""
+    """num None: no limit. match: accepted; "phrase" has an effect only where the caller asks for that extension.
+    compat_ivec: see Terms.of. combine: how several attributes make one relevance, None for the engine's way. Both are
+    extensions that a JSON request may carry under "ranking"."""
 
     mailbox: str
     query: dict[str, str]
     num: int | None = None
     start: str = ""
     match: str | None = None
+    compat_ivec: bool = False
+    combine: str | None = None
     terms: Terms = field(init=False)
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "terms", Terms.of(self.query))
+        object.__setattr__(self, "terms", self.words_by(words_py))
+
+    def words_by(self, split: Callable[[str], list[str]]) -> Terms:
+        return Terms.of(self.query, split, self.compat_ivec)
+
+    def at(self, start: str) -> SearchRequest:
+        """The same request from another cookie on."""
+        return replace(self, start=start)
 
     @property
     def cookie(self) -> Cookie | None:
@@ -106,19 +117,23 @@ class SearchRequest:
         paging = raw["paging"] if isinstance(raw.get("paging"), dict) else {}
         match = raw["match"] if isinstance(raw.get("match"), dict) else {}
         number = paging.get("num")
+        ranking = raw["ranking"] if isinstance(raw.get("ranking"), dict) else {}
         return cls(
             mailbox,
             {k: v for k, v in query.items() if isinstance(v, str)},
             number if isinstance(number, int) and not isinstance(number, bool) and number >= 0 else None,
             paging["start"] if isinstance(paging.get("start"), str) else "",
             match["type"] if isinstance(match.get("type"), str) else None,
+            ranking.get("compat_ivec") is True,
+            ranking["combine"] if ranking.get("combine") in ("last", "max", "mean") else None,
         )
 
     def to_json(self) -> str:
         out: dict = {"mailbox": self.mailbox, "query": self.query}
         if self.num is not None or self.start:
             out["paging"] = ({"num": self.num} if self.num is not None else {}) | ({"start": self.start} if self.start else {})
-        return json.dumps(out | ({"match": {"type": self.match}} if self.match else {}), ensure_ascii=False)
+        ranking = ({"compat_ivec": True} if self.compat_ivec else {}) | ({"combine": self.combine} if self.combine else {})
+        return json.dumps(out | ({"match": {"type": self.match}} if self.match else {}) | ({"ranking": ranking} if ranking else {}), ensure_ascii=False)
 
 
 def attributes(pairs: list[str], text: str = "", default: str = "text") -> dict[str, str]:

@@ -32,8 +32,8 @@ POSTINGS = T.StructType(
     ]
 )
 
-#: How a segment stores them: seq orders writes of the same posting, the last one counts.
-STORED = T.StructType([*POSTINGS.fields, T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()), T.StructField("shard", T.IntegerType())])
+#: How a generation stores them; what orders writes of the same posting is its commit.
+STORED = T.StructType([*POSTINGS.fields, T.StructField("deleted", T.BooleanType()), T.StructField("shard", T.IntegerType())])
 
 #: A posting's identity.
 IDENTITY = ["mailbox", "attr", "term", "ts", "id"]

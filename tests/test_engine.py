@@ -1,11 +1,15 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.config import EngineConfig
 from lexigrid.functions.timestamps import pack_py
+from lexigrid.operators.postings import postings
+from lexigrid.operators.store import Conflict, PostingStore
 from lexigrid.plans.engine import Engine
 from lexigrid.plans.request import BadRequest, SearchRequest
+from lexigrid.schema import VALUES
 from lexigrid.sources import requests
 from lexigrid.streaming.ingest import follow
 
@@ -98,8 +102,116 @@ def test_read_only_and_second_writer(spark, tmp_path):
     e.index_json(request(doc("d", "a")))
     with pytest.raises(PermissionError):
         Engine(spark, path, EngineConfig(read_only=True)).index_json(request(doc("e", "a")))
-    with pytest.raises(RuntimeError):
-        e.store._commit(1, "append", [])
+
+
+def contents(store):
+    return sorted((r["term"], r["id"], r["key"]) for r in store.read().collect())
+
+
+def batch(spark, key, *terms):
+    return postings(spark.createDataFrame([("m", i, "b", key, 0, "text", t) for i, t in terms], VALUES))
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    """It leaves its folder, and perhaps a commit file without its content; the next batch is seen all the same."""
+    store = PostingStore(spark, f"file://{tmp_path}/ix", EngineConfig(shards=2))
+    store.append(batch(spark, "k1", ("d1", "a")))
+    with monkeypatch.context() as m:
+        m.setattr(PostingStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError):
+            store.append(batch(spark, "lost", ("d1", "a"), ("d9", "a")))
+    assert contents(store) == [("a", "d1", "k1")]
+    (tmp_path / "ix" / "commits" / f"{2:012d}.json").write_text('{"gen": 2, "se')
+    assert contents(store) == [("a", "d1", "k1")] and len(store.commits()) == 1
+    store.append(batch(spark, "k3", ("d2", "a")))
+    store.append(batch(spark, "k4", ("d1", "a")))
+    assert contents(store) == [("a", "d1", "k4"), ("a", "d2", "k3")] and [c["gen"] for c in store.commits()] == [1, 3, 4]
+    assert len(list((tmp_path / "ix" / "data").iterdir())) == 4
+    assert store.vacuum(3600) == [] and len(list((tmp_path / "ix" / "data").iterdir())) == 4
+    store.vacuum(0)
+    assert len(list((tmp_path / "ix" / "data").iterdir())) == 3 and len(contents(store)) == 2
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ix"
+    a, b = PostingStore(spark, path, EngineConfig(shards=2)), PostingStore(spark, path, EngineConfig(shards=2))
+    a.append(batch(spark, "k1", ("d1", "a"), ("d2", "a")))
+    a.append(batch(spark, "k2", ("d2", "a")))
+    commit, raced = a._commit, []
+
+    def late(folder, kind, *rest):
+        if not raced:
+            raced.append(b.append(batch(spark, "k3", ("d1", "a"))))  # while a's rows are written, before its commit
+        return commit(folder, kind, *rest)
+
+    a._commit = late
+    done = a.append(batch(spark, "k4", ("d3", "a")))
+    assert [raced[0]["gen"], done["gen"]] == [3, 4]
+    want = [("a", "d1", "k3"), ("a", "d2", "k2"), ("a", "d3", "k4")]
+    assert contents(a) == want
+    raced.clear()
+    a.compact()  # b replaces d1 meanwhile: the compacted rows are older
+    assert contents(a) == want and a.generations()[0]["kind"] == "append" and a.commits()[-1]["seq"] == 4
+    reader = a.commits
+    a.commits = lambda: reader()[:-2]  # a saw the generations before they were compacted
+    folder = a.commits()
+    del a.commits, a._commit
+    with pytest.raises(Conflict):
+        a._write(a.read(commits=folder).withColumn("deleted", F.lit(False)), "compact", [c["gen"] for c in folder], folder)
+    numbers = a._commit_numbers
+    a._commit_numbers = lambda: numbers()[:-1] if not raced.append(1) and len(raced) < 2 else numbers()  # a number that another takes first
+    assert a.append(batch(spark, "k9", ("d9", "a")))["gen"] == max(numbers())
+
+
+def test_last_of_a_batch_counts(spark, tmp_path):
+    """A document twice in a batch is as two batches; a tagged batch is taken once."""
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=2))
+    e.index_json(request(doc("d", "a b"), doc("d", "x a")))
+    got = {r["term"]: r["positions"] for r in e.store.read().collect()}
+    assert got == {"a": [1], "b": [1], "x": [0]}
+    rows = e.store.read()
+    e.store.append(rows.unionByName(rows).where("term = 'a'"), "t")
+    assert e.store.append(rows, "t")["gen"] == 2 and len(e.store.commits()) == 2
+    assert e.store.read().where("term = 'a'").count() == 1 and e.search(SearchRequest("m", {"text": "a zzz"})).docs == []
+
+
+def test_one_read_of_commits_a_search(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=2))
+    for i in range(3):
+        e.index_json(request(doc(f"d{i}", "a b c")))
+    read, seen = PostingStore._read, []
+    monkeypatch.setattr(PostingStore, "_read", lambda self, n: seen.append(n) or read(self, n))
+    e.search(SearchRequest("m", {"text": "a b c"}, 10))
+    assert len(seen) == 3
+
+
+def test_same_analyzer_on_both_sides(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=2), analyzer=lambda c: F.split(F.upper(c), "-"))
+    e.index_json(request(doc("d", "hello-there you"), doc("e", "hello-x")))
+    assert [d["id"] for d in e.search(SearchRequest("m", {"text": "Hello-There you"}, 5)).docs] == ["d"]
+    assert e.search(SearchRequest("m", {"text": "hello there"})).docs == []
+    assert e.search_many({"q": SearchRequest("m", {"text": "HELLO"})}).count() == 2
+    assert e.results(SearchRequest("m", {"text": "hello"}, 1)).count() == 2
+
+
+def test_ranking_of_a_request(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=2))
+    e.index_json(request(doc("d", "a a b") | {"index": {"text": "a a b", "title": "b a"}}))
+    one = SearchRequest.from_json('{"mailbox": "m", "query": {"text": "a a b"}, "ranking": {"compat_ivec": true}}')
+    assert one.compat_ivec and SearchRequest.from_json(one.to_json()) == one
+    assert round(e.search(one).docs[0]["relevance"], 6) == 0.222222
+    assert round(e.search(SearchRequest("m", {"text": "a a b"})).docs[0]["relevance"], 6) == 0.333333
+    both = {"text": "a", "title": "a b"}
+    assert [e.search(SearchRequest("m", both, combine=c)).docs[0]["relevance"] for c in (None, "max", "mean")] == [0.25, 1.0, 0.625]
+
+
+def test_dump_of_one_page(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=1))
+    e.index_json(request(doc("d2", "b a", 2), doc("d1", "a", 1)))
+    file = e.page_files().orderBy("num_keys").collect()
+    rows = [(r["place"], r["term"], r["id"], r["positions"]) for f in file for r in e.page_dump(f["file"]).collect()]
+    assert sorted(r[1:] for r in rows) == [("a", "d1", [0]), ("a", "d2", [1]), ("b", "d2", [0])]
+    assert [r[0] for r in rows][: file[0]["num_keys"]] == list(range(file[0]["num_keys"]))
 
 
 def test_stream(spark, tmp_path):
