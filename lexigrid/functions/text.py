@@ -70,4 +70,4 @@ def decoded(data: Column, charset: str = "UTF-8") -> Column:
 
 def key_name(bucket: Column, key: Column) -> Column:
     """A fixed-length name for a key of a bucket."""
-    return F.sha2(F.concat_ws("\u0000", bucket, key), 512)
+    return F.sha2(F.concat_ws(":", bucket, key), 256)

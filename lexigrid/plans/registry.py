@@ -5,9 +5,9 @@ documents: the mailbox is lang, the id doc_id, attributes are text and source, t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,11 @@ from lexigrid.operators.intersect import count_matches, intersect, intersect_bat
 from lexigrid.operators.paging import page, page_info, top_k
 from lexigrid.operators.postings import index_name, postings, shard_route, tokenize
 from lexigrid.operators.rank import has_phrase, ranked, relevance
-from lexigrid.operators.store import PostingStore, latest
-from lexigrid.plans.request import Cookie, Terms
+from lexigrid.operators.store import latest
+from lexigrid.plans.engine import Engine
+from lexigrid.plans.request import Cookie, SearchRequest, Terms, parse_command
 from lexigrid.schema import VALUES
+from lexigrid.shared import shared_dir
 from lexigrid.sources import requests, stats, synthetic
 from lexigrid.sources.markup import html_words
 
@@ -48,7 +50,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-# -- inputs ------------------------------------------------------------------------------------------------------------
+# -- inputs ------
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,17 +66,28 @@ def values(spark: SparkSession, sf_dir: str, attrs: tuple[str, ...] = ("text",))
     return out
 
 
-def _terms_only(spark: SparkSession, sf_dir: str, mailbox: str, terms: Terms, attrs: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Postings of a query's lists straight from the table, without those of other words: the filters stand before the grouping."""
-    wanted = [t for _, t in terms.lists]
-    rows = tokenize(values(spark, sf_dir, attrs).where(F.col("mailbox") == mailbox)).where(F.col("term").isin(wanted))
-    grouped = rows.groupBy("mailbox", "attr", "term", "ts", "id").agg(F.min(F.struct("bucket", "key")).alias("url"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("mailbox", "attr", "term", "ts", "id", "url.bucket", "url.key", "positions")
+#: Indexes that this session has made of a folder's documents.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine with all documents' texts and sources, indexed once a session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        Engine(spark, path).index_values(values(spark, sf_dir, ("text", "source")))
+        _INDEXES[key] = path
+    return Engine(spark, _INDEXES[key])
+
+
+def _terms_only(spark: SparkSession, sf_dir: str, mailbox: str, terms: Terms) -> DataFrame:
+    """Stored postings of a query's lists."""
+    return engine(spark, sf_dir).store.read([t for _, t in terms.lists]).where(F.col("mailbox") == mailbox)
 
 
 def _found(spark: SparkSession, sf_dir: str, mailbox: str, query: dict[str, str], cookie: Cookie | None = None) -> tuple[DataFrame, Terms]:
     terms = Terms.of(query)
-    return intersect(_terms_only(spark, sf_dir, mailbox, terms, tuple(query) or ("text",)), mailbox, terms, cookie), terms
+    return intersect(_terms_only(spark, sf_dir, mailbox, terms), mailbox, terms, cookie), terms
 
 
 def _flat(hits: DataFrame) -> DataFrame:
@@ -132,7 +145,7 @@ rel AS (SELECT c.ts, c.id, round((1 - min(dist) / {n}.0) * (arg_min(n, dist) / (
     )
 
 
-# -- words and postings ------------------------------------------------------------------------------------------------
+# -- words and postings ------
 
 
 @_query(_base() + " SELECT mailbox, id, ts, attr, CAST(pos AS BIGINT) AS pos, term FROM toks")
@@ -164,16 +177,17 @@ def printable_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.printable(F.col("text")).alias("line"))
 
 
-def _extracted(f):
+def _extracted(f, table, id_, text):
     def run(spark, sf_dir):
-        return _table(spark, sf_dir, "documents").select("doc_id", F.explode(f(F.lower("text"))).alias("found"))
+        return _table(spark, sf_dir, table).select(id_, F.explode(f(F.lower(text))).alias("found"))
 
     return run
 
 
-for _name, _f, _pattern in (("regex_hosts", T.hosts, T.HOST), ("regex_urls", T.urls, T.URL), ("regex_mails", T.mails, T.MAIL)):
-    QUERIES[_name] = _extracted(_f)
-    SQL[_name] = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_pattern}')) AS found FROM documents"
+_TEXTS, _PAGES = ("documents", "doc_id", "text"), ("pages", "page_id", "html")  # texts hold no addresses of pages
+for _name, _f, _pattern, _where in (("regex_hosts", T.hosts, T.HOST, _TEXTS), ("regex_urls", T.urls, T.URL, _PAGES), ("regex_mails", T.mails, T.MAIL, _TEXTS)):
+    QUERIES[_name] = _extracted(_f, *_where)
+    SQL[_name] = f"SELECT {_where[1]}, unnest(regexp_extract_all(lower({_where[2]}), '{_pattern}')) AS found FROM {_where[0]}"
 
 
 @_query()
@@ -181,14 +195,19 @@ def html_words_of_pages(spark, sf_dir):
     return html_words(_table(spark, sf_dir, "pages"))
 
 
-@_query()
+@_query("SELECT doc_id, CAST(CAST('0x' || substring(md5(lang), 1, 8) AS BIGINT) % 16 AS INTEGER) AS shard FROM documents")
 def shard_routes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", shard_route(F.col("lang"), 16).alias("shard"))
 
 
-@_query(r"""SELECT doc_id, regexp_extract(translate(text, '<>",', '    '), '([^@|\s]+@[^@\s]+\.[^@|\s]+)', 1) AS address FROM documents WHERE contains(text, '@')""")
+@_query("SELECT doc_id, sha256(source || ':' || doc_id) AS name FROM documents")
+def key_names(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.key_name(F.col("source"), F.col("doc_id").cast("string")).alias("name"))
+
+
+@_query(r"""SELECT doc_id, coalesce(regexp_extract(translate(text, '<>",', '    '), '([^@|\s]+@[^@\s]+\.[^@|\s]+)', 1), '') AS address FROM documents""")
 def first_addresses(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
+    rows = _table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.coalesce(T.address(F.col("text")), F.lit("")).alias("address"))
 
 
@@ -218,9 +237,16 @@ def request_outcomes(spark, sf_dir):
     return requests.outcome(_request_lines(spark, sf_dir))
 
 
-@_query()
+@_query(
+    f"""WITH words AS (SELECT k, substring(translate(md5('1:' || k), '0123456789', 'ghijklmnop'), 1, CAST(k % 16 + 5 AS INTEGER)) AS word FROM range(3000) AS r(k)),
+ids AS (SELECT unnest(range((SELECT count(*) FROM documents))) AS id),
+picks AS (SELECT id, i, CAST('0x' || substring(md5('1:' || id || ':' || i), 1, 8) AS BIGINT) % 3000 AS k FROM (SELECT id, unnest(range(1, 1001)) AS i FROM ids))
+SELECT 'load' AS mailbox, substring(md5(CAST(id AS VARCHAR)), 1, 10) || '@' || substring(sha1(CAST(id AS VARCHAR)), 1, 20) AS id, (CAST({START} AS BIGINT) + id) << 30 AS ts, string_agg(word, ' ' ORDER BY i) AS value
+FROM picks JOIN words USING (k) GROUP BY picks.id"""
+)
 def synthetic_messages(spark, sf_dir):
-    return synthetic.messages(spark, 1000, words=100)
+    """As many messages as there are documents, of 1,000 words each."""
+    return synthetic.messages(spark, _table(spark, sf_dir, "documents").count()).select("mailbox", "id", "ts", "value")
 
 
 _MONITORS = "m AS (SELECT s_suppkey AS backend_id, s_nationkey AS grp, 1000 + s_suppkey % 7 * 100 AS size_limit, CAST(floor(abs(s_acctbal)) AS BIGINT) % 1500 AS used, s_suppkey AS records_total, s_nationkey AS records_removed FROM supplier)"
@@ -240,7 +266,7 @@ def group_statistics(spark, sf_dir):
     return stats.by_group(stats.backends(s.select(line.alias("value")))).select(F.col("group").cast("int").alias("group"), "size_limit", "used", "records_total", "records_removed", "backends")
 
 
-# -- search ------------------------------------------------------------------------------------------------------------
+# -- search ------
 
 _TWO, _THREE = {"text": "the of"}, {"text": "the of and"}
 
@@ -287,9 +313,7 @@ _BATCH = [("q1", "en", ("the", "of")), ("q2", "fr", ("de", "la")), ("q3", "de",
 def batch_search(spark, sf_dir):
     rows = [(q, m, "text", t, i) for q, m, ts in _BATCH for i, t in enumerate(ts)]
     asked = spark.createDataFrame(rows, "qid string, mailbox string, attr string, term string, ord int")
-    wanted = tokenize(values(spark, sf_dir)).where(F.col("term").isin(sorted({r[3] for r in rows})))
-    p = wanted.groupBy("mailbox", "attr", "term", "ts", "id").agg(F.min("bucket").alias("bucket"), F.min("key").alias("key"))
-    return intersect_batch(p, asked)
+    return intersect_batch(engine(spark, sf_dir).store.read(sorted({r[3] for r in rows})), asked)
 
 
 @_query(
@@ -302,7 +326,7 @@ def conversation_search(spark, sf_dir):
     return intersect(postings(own.where("mailbox = 'assistant'")), "assistant", Terms.of(_TWO), positions=False).select("ts", "id")
 
 
-# -- pages -------------------------------------------------------------------------------------------------------------
+# -- pages ------
 
 _PAGE = 100
 
@@ -330,7 +354,7 @@ def page_of_none(spark, sf_dir):
     return page_info(_found(spark, sf_dir, "en", _THREE)[0], 0)
 
 
-# -- relevance ---------------------------------------------------------------------------------------------------------
+# -- relevance ------
 
 
 def _scores(name: str, mailbox: str, query: dict[str, str]) -> None:
@@ -366,7 +390,7 @@ def phrase_search(spark, sf_dir):
     return found.where(has_phrase(terms)).select("ts", "id")
 
 
-# -- catalog and changes -----------------------------------------------------------------------------------------------
+# -- catalog and changes ------
 
 
 @_query(_base() + f" SELECT ts, id, bucket, key, array_to_string(positions, ',') AS positions FROM post WHERE mailbox = 'en' AND term = 'the' AND id = '1' AND ts = {pack_py(START + 1)}")
@@ -412,39 +436,129 @@ def index_dump(spark, sf_dir):
     return catalog.dump(_terms_only(spark, sf_dir, "en", Terms.of({"text": "of"})))
 
 
-# -- a stored index ----------------------------------------------------------------------------------------------------
+# -- a stored index, and the engine on it ------
 
 
-def _stored(spark, sf_dir) -> PostingStore:
-    """A store with all documents' sources in three generations: added, every seventh document removed, every fourteenth added
-    again under another key."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexigrid-")
-    store = PostingStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
-    own = postings(values(spark, sf_dir, ("source",)))
+def _stored(spark, sf_dir) -> Engine:
+    """All documents' texts and sources in three generations: added, every seventh document removed, every fourteenth added again
+    under another key."""
+    made = Engine(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    own = values(spark, sf_dir, ("text", "source"))
     number = F.col("id").cast("bigint")
-    store.append(own)
-    store.delete(own.where(number % 7 == 0), report_missing=False)
-    store.append(own.where(number % 14 == 0).withColumn("key", F.lit("again")))
-    return store
+    made.index_values(own)
+    made.remove_documents(own.where(number % 7 == 0))
+    made.index_values(own.where(number % 14 == 0).withColumn("key", F.lit("again")))
+    return made
 
 
-_STORED = ", kept AS (SELECT mailbox, attr, term, ts, id, bucket, CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN 'again' ELSE key END AS key FROM post WHERE CAST(id AS BIGINT) % 7 <> 0 OR CAST(id AS BIGINT) % 14 = 0)"
+_KEPT = "kept AS (SELECT mailbox, attr, term, ts, id, bucket, CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN 'again' ELSE key END AS key, positions FROM post WHERE CAST(id AS BIGINT) % 7 <> 0 OR CAST(id AS BIGINT) % 14 = 0)"
+_STORED = _base("text", "source") + ", " + _KEPT
+_SHOWN = " SELECT * REPLACE (array_to_string(positions, ',') AS positions) FROM kept"
 
 
-@_query(_base("source") + _STORED + " SELECT * FROM kept")
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+
+
+@_query(_STORED + _SHOWN)
 def store_latest(spark, sf_dir):
     """Appended, removed and replaced postings as a reader sees them."""
-    return _stored(spark, sf_dir).read().drop("positions")
+    return _shown(_stored(spark, sf_dir).store.read())
 
 
-@_query(_base("source") + _STORED + " SELECT * FROM kept")
+@_query(_STORED + _SHOWN)
 def store_compacted(spark, sf_dir):
-    store = _stored(spark, sf_dir)
-    store.compact()
-    store.vacuum()
-    return store.read().drop("positions")
+    made = _stored(spark, sf_dir)
+    made.compact()
+    made.store.vacuum()
+    return _shown(made.store.read())
 
 
-@_query(_base("source") + _STORED + " SELECT mailbox, attr, term, count(*) AS num_keys FROM kept GROUP BY mailbox, attr, term")
+@_query(_STORED + " SELECT mailbox, attr, term, count(*) AS num_keys FROM kept GROUP BY mailbox, attr, term")
 def store_counters(spark, sf_dir):
-    return catalog.store_meta(_stored(spark, sf_dir)).select("mailbox", "attr", "term", "num_keys")
+    return _stored(spark, sf_dir).meta().select("mailbox", "attr", "term", "num_keys")
+
+
+@_query(_base("text", "source") + " SELECT count(*) AS num_keys, min((mailbox, attr, term, ts, id))[3] AS first, max((mailbox, attr, term, ts, id))[3] AS last FROM post")
+def store_pages(spark, sf_dir):
+    """What the files hold together, from each file's count and ends."""
+    files = engine(spark, sf_dir).page_files()
+    return files.agg(F.sum("num_keys").alias("num_keys"), F.min("first")["term"].alias("first"), F.max("last")["term"].alias("last"))
+
+
+@_query(_base("text", "source") + " SELECT mailbox, attr, term, ts, id, array_to_string(positions, ',') AS positions, FALSE AS deleted FROM post")
+def store_page_dump(spark, sf_dir):
+    """Every row of every file of a generation, as its files' dumps give them."""
+    e = engine(spark, sf_dir)
+    folders = [f"{e.store.path}/data/{g['folder']}" for g in e.store.generations()]
+    return _shown(reduce(DataFrame.unionByName, map(e.page_dump, folders))).select("mailbox", "attr", "term", "ts", "id", "positions", "deleted")
+
+
+@_query(_base("text", "source") + " SELECT mailbox, attr, term, TRUE AS dated, count(*) >= 1 AS filed FROM post GROUP BY mailbox, attr, term")
+def store_generation(spark, sf_dir):
+    """Every list is dated by the last change, and stands in at least one file."""
+    m = engine(spark, sf_dir).meta()
+    return m.select("mailbox", "attr", "term", ((F.col("generation_sec") > START) & (F.col("generation_nsec") < 10**9)).alias("dated"), (F.col("num_files") >= 1).alias("filed"))
+
+
+def _hits_of_rows(spark, rows) -> DataFrame:
+    return spark.createDataFrame([(r["ts"], r["id"], r["bucket"], r["key"], round(r["relevance"], 6)) for r in rows], "ts bigint, id string, bucket string, key string, relevance double")
+
+
+_PAGE_RANKED = _relevance_sql("en", _THREE) + f", p AS (SELECT * FROM hits ORDER BY ts, id LIMIT {_PAGE}) SELECT p.ts, p.id, p.bucket, p.key, relevance FROM p JOIN rel ON p.ts = rel.ts AND p.id = rel.id"
+
+
+@_query(_PAGE_RANKED)
+def engine_search_page(spark, sf_dir):
+    """A request's page by the engine."""
+    return _hits_of_rows(spark, engine(spark, sf_dir).search(SearchRequest("en", _THREE, _PAGE)).docs)
+
+
+@_query(_relevance_sql("en", _THREE) + f", p AS (SELECT * FROM hits ORDER BY ts, id LIMIT {_PAGE}) SELECT p.id, p.key, p.bucket, p.ts >> 30 AS tsec, CAST(0 AS BIGINT) AS tnsec, relevance FROM p JOIN rel ON p.ts = rel.ts AND p.id = rel.id")
+def engine_search_json(spark, sf_dir):
+    """A request and its answer in JSON."""
+    request = SearchRequest("en", _THREE, _PAGE).to_json()
+    answer = spark.createDataFrame([(engine(spark, sf_dir).search(request).to_json(),)], "value string")
+    ids = answer.select(F.from_json("value", "ids array<struct<id string, key string, bucket string, relevance double, timestamp struct<tsec bigint, tnsec bigint>>>").alias("a"))
+    return ids.select(F.explode("a.ids").alias("d")).select("d.id", "d.key", "d.bucket", "d.timestamp.tsec", "d.timestamp.tnsec", F.round("d.relevance", 6).alias("relevance"))
+
+
+@_query(_hits("en", _THREE) + " SELECT (row_number() OVER (ORDER BY ts, id) - 1) // 400 AS page, ts, id FROM hits")
+def engine_pages_joined(spark, sf_dir):
+    """All pages of a request, each from the cookie of the one before."""
+    rows = [(n, r["ts"], r["id"]) for n, p in enumerate(engine(spark, sf_dir).pages(SearchRequest("en", _THREE, 400))) for r in p.docs]
+    return spark.createDataFrame(rows, "page bigint, ts bigint, id string")
+
+
+@_query(_relevance_sql("en", _TWO) + " SELECT h.ts, h.id, h.bucket, h.key, relevance FROM hits h JOIN rel ON h.ts = rel.ts AND h.id = rel.id")
+def engine_results(spark, sf_dir):
+    """All matches of a request without limit."""
+    return engine(spark, sf_dir).results(SearchRequest("en", _TWO)).select("ts", "id", "bucket", "key", F.round("relevance", 6).alias("relevance"))
+
+
+@_query(SQL["batch_search"])
+def engine_search_many(spark, sf_dir):
+    return engine(spark, sf_dir).search_many({q: SearchRequest(m, {"text": " ".join(ts)}) for q, m, ts in _BATCH})
+
+
+@_query(_hits("en", _TWO) + ", shown AS (SELECT * FROM hits WHERE CAST(id AS BIGINT) % 7 <> 0 OR CAST(id AS BIGINT) % 14 = 0) SELECT ts, id, bucket, CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN 'again' ELSE key END AS key, lists FROM shown")
+def engine_remove_then_search(spark, sf_dir):
+    return _flat(_stored(spark, sf_dir).matches(SearchRequest("en", _TWO)))
+
+
+@_query(_hits("en", _THREE) + " SELECT ts, id, lists FROM hits WHERE contains(lists, 'text:the=0')")
+def engine_finish(spark, sf_dir):
+    """Matches passed through a callback: those that begin with the first word."""
+    first = lambda df: df.where(F.col("indexes")[0]["positions"][0] == 0)
+    return _flat(engine(spark, sf_dir).matches(SearchRequest("en", _THREE), first)).select("ts", "id", "lists")
+
+
+@_query(_hits("en", {"text": "the of and"}) + " SELECT ts, id FROM hits")
+def engine_command_line(spark, sf_dir):
+    """Words as a user types them, by the engine."""
+    return engine(spark, sf_dir).matches(SearchRequest("en", parse_command("the of and"))).select("ts", "id")
+
+
+@_query(_base() + " SELECT ts, id FROM post WHERE mailbox = 'en' AND term = 'the' ORDER BY ts, id OFFSET 50")
+def index_scan_skipped(spark, sf_dir):
+    return catalog.scan(_terms_only(spark, sf_dir, "en", Terms.of({"text": "the"})), "en", "text", "the", skip=50).select("ts", "id")

@@ -12,23 +12,60 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexigrid.functions.text import HOST, MAIL, URL, address_py
+from lexigrid.functions.timestamps import pack
+from lexigrid.schema import VALUES
 
 _EXTRA = [re.compile(p) for p in (HOST, URL, MAIL)]
 
 
+#: Letters of the languages of a single-byte charset, the most frequent first. A text of which over 60 % of the letters are beyond
+#: ASCII is in one of the first three, else in one of the others.
+_LETTERS = {
+    "cp1251": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъёОЕАИНТСРВЛКМДПУЯГЗБЧХЖШЮЭ",
+    "koi8-r": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъёОЕАИНТСРВЛКМДПУЯГЗБЧХЖШЮЭ",
+    "cp1253": "αοιετσνηυρπκμλωςγδχθφβξζψάέήίόύώϊΑΟΙΕΤΣΝΗΥΡΠΚΜΛΩΞ",
+    "cp1252": "äöüßéèêàâçîïôûùñáíóúøåæœÄÖÜÉÀÑ’‘“”–—€",
+    "cp1250": "ąćęłńóśźżěščřžýáíéůďťňőűöüÁČŠŽŁŻŹĆŚ",
+}
+_WEIGHTS = {c: {x.encode(c)[0]: 1 - i / len(letters) for i, x in enumerate(letters)} for c, letters in _LETTERS.items()}
+_LATIN = ("cp1252", "cp1250")
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def detect(data: bytes) -> str | None:
+    """The charset that bytes are probably in, None for binary data: by a byte order mark, as UTF-8 if they are valid, as UTF-16 if
+    every other byte is zero, else the single-byte charset whose frequent letters its high bytes are, Windows-1252 if none."""
+    for mark, charset in _MARKS:
+        if data.startswith(mark):
+            return charset
+    if zeros := data.count(0):
+        even, odd = data[::2].count(0), data[1::2].count(0)
+        if zeros * 5 > len(data) * 2 and min(even, odd) * 20 <= zeros:
+            return "utf-16-be" if even > odd else "utf-16-le"
+        return None
+    try:
+        data.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError:
+        high = [b for b in data if b >= 0x80]
+        low = sum(chr(b).isalpha() for b in data if b < 0x80)
+        latin = len(high) < 4 or len(high) * 2 < 3 * low
+        score = {c: sum(own.get(b, -1.0) for b in high) for c, own in _WEIGHTS.items() if (c in _LATIN) == latin}
+        if latin:  # the accents of one are letters of the other: how many there are counts, not which
+            score = {c: sum(b in _WEIGHTS[c] for b in high) for c in _LATIN}
+        return max(score, key=score.get)
+
+
 def recode(data: bytes | str | None, charset: str | None = None) -> str:
-    """Bytes as text: by the charset named, else UTF-8 if valid, else Windows-1252; binary data gives nothing."""
+    """Bytes as text: by the charset named, else the one detected; binary data gives nothing."""
     if data is None or isinstance(data, str):
         return data or ""
     if not charset or charset == "unknown-8bit":
-        if b"\0" in data:
-            return ""
-        try:
-            return data.decode("utf-8")
-        except UnicodeDecodeError:
-            return data.decode("cp1252", "ignore")
+        found = detect(data)
+        return data.decode(found, "ignore") if found else ""
     if charset == "binary":
         return ""
     try:
@@ -131,3 +168,19 @@ def mails(files: DataFrame, mailbox: str | None = None) -> DataFrame:
             yield out
 
     return files.select("path", "content").mapInPandas(run, MAIL_SCHEMA)
+
+
+def mail_values(mails: DataFrame, bucket: str = "mail", now: int | None = None) -> DataFrame:
+    """Rows of mails() -> schema.VALUES, to be indexed: the words as attribute "text", which is a set, so that positions in it mean
+    nothing, and the addresses as "from" and "to". The key is the file's path; a mail without a date is of now."""
+    sec = F.unix_seconds(F.current_timestamp()) if now is None else F.lit(now)
+    text = F.map_from_arrays(F.array(F.lit("text")), F.array(F.array_join("words", " ")))
+    each = mails.select("mailbox", "id", F.lit(bucket).alias("bucket"), F.col("path").alias("key"), pack(F.coalesce("tsec", sec), F.lit(0)).alias("ts"), F.explode(F.map_concat("attrs", text)).alias("attr", "value"))
+    return each.to(VALUES)
+
+
+def html_values(words: DataFrame, mailbox: str, bucket: str = "html", now: int | None = None) -> DataFrame:
+    """Rows of html_words() -> schema.VALUES, to be indexed: a page's words as attribute "text"."""
+    sec = F.unix_seconds(F.current_timestamp()) if now is None else F.lit(now)
+    pages = words.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("value"))
+    return pages.select(F.lit(mailbox).alias("mailbox"), "id", F.lit(bucket).alias("bucket"), F.col("id").alias("key"), pack(sec, F.lit(0)).alias("ts"), F.lit("text").alias("attr"), "value").to(VALUES)

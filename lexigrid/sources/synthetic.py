@@ -10,10 +10,12 @@ from lexigrid.schema import VALUES
 
 
 def messages(spark: SparkSession, n: int, words: int = 1000, vocabulary: int = 3000, mailbox: str = "load", seed: int = 1, start: int = 1_700_000_000) -> DataFrame:
-    """n messages, the same for the same seed: word k of the vocabulary is 5 to 20 letters of a hash of k."""
-    ids = spark.range(n)
-    pick = F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(vocabulary)))
+    """n messages, the same for the same seed: word k of the vocabulary is 5 to 20 letters of a hash of k, and the words of a
+    message are picked by hashes of their places."""
+    ids = spark.range(n).withColumnRenamed("id", "number")  # as `id` within a lambda would be the alias below
+    place = lambda i: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("number").cast("string"), i.cast("string")))
+    pick = F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.pmod(F.conv(F.substring(place(i), 1, 8), 16, 10).cast("bigint"), F.lit(vocabulary)))
     word = lambda k: F.substring(F.translate(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), k.cast("string"))), "0123456789", "ghijklmnop"), F.lit(1), (F.pmod(k, F.lit(16)) + 5).cast("int"))
     text = F.array_join(F.transform(pick, word), " ")
-    name = F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 10), F.lit("@"), F.substring(F.sha1(F.col("id").cast("string")), 1, 20))
-    return ids.select(F.lit(mailbox).alias("mailbox"), name.alias("id"), F.lit("load").alias("bucket"), name.alias("key"), pack(F.lit(start) + F.col("id"), F.lit(0)).alias("ts"), F.lit("text").alias("attr"), text.alias("value")).to(VALUES)
+    name = F.concat(F.substring(F.md5(F.col("number").cast("string")), 1, 10), F.lit("@"), F.substring(F.sha1(F.col("number").cast("string")), 1, 20))
+    return ids.select(F.lit(mailbox).alias("mailbox"), name.alias("id"), F.lit("load").alias("bucket"), name.alias("key"), pack(F.lit(start) + F.col("number"), F.lit(0)).alias("ts"), F.lit("text").alias("attr"), text.alias("value")).to(VALUES)

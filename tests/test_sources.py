@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
 from lexigrid.functions.timestamps import pack_py, rendered
+from lexigrid.plans.engine import Engine
+from lexigrid.plans.request import SearchRequest
 from lexigrid.sources import files, markup, stats, synthetic
 
 
@@ -20,6 +22,8 @@ def test_crawl_and_list(spark, tmp_path):
     names = tmp_path / "names"
     names.write_text(f"{tmp_path}/a.go\n{tmp_path}/missing.go\n\n")
     assert files.listed(spark, str(names), now=1).count() == 1
+    names.write_text(f"file:{tmp_path}/sub/b.txt\n{tmp_path}/a.go\n{tmp_path}/a.go\n/no/such/folder/x.txt\n")
+    assert sorted(r["value"] for r in files.listed(spark, str(names), now=1).collect()) == ["one two", "three"]
     names.write_text("")
     assert files.listed(spark, str(names)).count() == 0
 
@@ -49,10 +53,26 @@ def test_mails(spark):
     assert markup.parse_mail(mail(Message_Id="<1@x.org>"), "box")["mailbox"] == "box"
 
 
+def test_mails_and_pages_are_indexed(spark, tmp_path):
+    good = mail(From="Ann <ann@x.org>", To="me@y.org", Subject="greetings", Message_Id="<1@x.org>", Date="Thu, 01 Jan 1970 00:01:00 +0000")
+    undated = mail(To="me@y.org", Message_Id="<2@x.org>")
+    e = Engine(spark, f"file://{tmp_path}/ix")
+    e.index_values(markup.mail_values(markup.mails(spark.createDataFrame([("p1", bytearray(good)), ("p2", bytearray(undated))], "path string, content binary")), now=500))
+    hits = e.search(SearchRequest("me@y.org", {"text": "bold"})).docs
+    assert sorted((d["id"], d["ts"], d["key"]) for d in hits) == [("1@x.org", pack_py(60), "p1"), ("2@x.org", pack_py(500), "p2")]
+    assert [d["id"] for d in e.search(SearchRequest("me@y.org", {"text": "greetings", "from": "ann x.org"})).docs] == ["1@x.org"]
+    e.index_values(markup.html_values(markup.html_words(spark.createDataFrame([(1, "<p class=Big>See now</p>")], "page_id int, html string")), "web", now=7))
+    assert [(d["id"], d["ts"]) for d in e.search(SearchRequest("web", {"text": "big now"})).docs] == [("1", pack_py(7))]
+
+
 def test_recode():
     assert markup.recode("é".encode("latin-1"), "latin-1") == "é"
     assert markup.recode(b"\xe9") == "é" and markup.recode(b"a\0b") == "" and markup.recode(None) == ""
     assert markup.recode(b"ab", "no-such") == "ab" and markup.recode(b"ab", "binary") == ""
+    russian, greek, polish, german = "съешь ещё этих мягких французских булок", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "Zażółć gęślą jaźń, pchnąć w tę łódź jeża", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich"
+    for text, charset in ((russian, "cp1251"), (russian, "koi8-r"), (greek, "cp1253"), (polish, "cp1250"), (german, "cp1252"), (russian, "utf-8"), (german, "utf-16-le"), (german, "utf-16-be"), (polish, "utf-16"), (russian, "utf-8-sig")):
+        assert markup.recode(text.encode(charset)) == text, charset
+    assert markup.detect(bytes(range(256))) is None and markup.detect(b"") == "utf-8"
 
 
 def test_text_functions(spark):
@@ -60,7 +80,7 @@ def test_text_functions(spark):
     r = df.select(T.words("t").alias("w"), T.extracted(F.col("t")).alias("x"), T.printable("t").alias("p"), T.address(F.col("t")).alias("a"), T.key_name(F.lit("b"), F.lit("k")).alias("k"), rendered(F.lit(pack_py(0, 5000))).alias("s")).first()
     assert r["w"] == ["hé", "a", "b", "co", "see", "w", "x", "org", "80", "p", "é"]
     assert set(r["x"]) == {"b.co", "w.x.org:80", "w.x.org:80/p", "a@b.co"}
-    assert r["p"] == "H., a@b.co see w.x.org:80/p .." and r["a"] == "a@b.co" and len(r["k"]) == 128
+    assert r["p"] == "H., a@b.co see w.x.org:80/p .." and r["a"] == "a@b.co" and len(r["k"]) == 64
     assert r["s"] == "1970-01-01 00:00:00.000005"
     assert T.words_py("Hé, a") == ["hé", "a"]
 
