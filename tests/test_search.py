@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lexigrid.functions.timestamps import pack_py
-from lexigrid.operators.intersect import intersect, intersect_batch, intersect_by_joins
+from lexigrid.operators.intersect import count_matches, intersect, intersect_batch, intersect_by_joins
 from lexigrid.operators.paging import page, page_info
 from lexigrid.operators.postings import postings
 from lexigrid.operators.rank import has_phrase, ranked, relevance
@@ -155,3 +155,35 @@ def test_plan_pushes_filters_and_shuffles_once(spark, tmp_path):
     assert plan.count("Exchange") == 1
     assert "EqualTo(mailbox,m)" in plan and "In(term" in plan and "GreaterThan(ts,3)" in plan
     assert pack_py(0) == 0
+
+
+@pytest.mark.parametrize("n", [222, 223, 224, 300])
+def test_many_words(spark, n):
+    """As many different words as a query likes, on both sides of what a byte can number."""
+    rng = random.Random(n)
+    asked = [f"w{i}" for i in range(n)]
+    texts = {"same": asked, "turned": asked[::-1], "mixed": rng.sample(asked, n) + ["x", *asked[: n // 2]]}
+    terms = Terms.of({"text": " ".join(asked)})
+    hits = intersect(make(spark, {k: " ".join(v) for k, v in texts.items()}), "m", terms)
+    got = {r["id"]: r["relevance"] for r in relevance(hits, terms).collect()}
+    rank = {w: i for i, w in enumerate(asked)}
+    for k, v in texts.items():
+        assert got[k] == pytest.approx(brute(terms.ivec["text"], [(p, rank[w]) for p, w in enumerate(v) if w in rank]), abs=1e-9)
+
+
+def test_postings_need_no_shuffle(spark):
+    p = make(spark, {"a": "x y x", "b": "", "c": None, (5, "a"): "y"})
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["ts"], r["term"], r["positions"]) for r in p.collect()) == [("a", 0, "x", [0, 2]), ("a", 0, "y", [1]), ("a", 5, "y", [0])]
+
+
+def test_repeated_identities_count_once(spark):
+    p = make(spark, {"d1": "a b", "d2": "a"})
+    twice = p.unionByName(p)
+    for query, want in (({"text": "a b"}, ["d1"]), ({"text": "a zzz"}, []), ({"text": "a"}, ["d1", "d2"])):
+        terms = Terms.of(query)
+        found = intersect(twice, "m", terms).collect()
+        assert sorted(r["id"] for r in found) == want and all(len(r["indexes"]) == len(terms.lists) for r in found)
+        assert count_matches(twice, "m", terms).first()["n"] == len(want)
+        asked = spark.createDataFrame([("q", "m", a, t, i) for i, (a, t) in enumerate(terms.lists)], "qid string, mailbox string, attr string, term string, ord int")
+        assert sorted(r["id"] for r in intersect_batch(twice, asked).collect()) == want
