@@ -52,16 +52,20 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float
     gives an empty table. Columns of any name pass through. Length of text isn't bounded.
     """
     bad = boilerplate(docs, min_sites, band, lg_k)
+    # A text's lines to drop as bits, 64 a number, so that looking one up takes no time however many they are.
     found = (
         docs.select(F.xxhash64("text").alias("t"), F.length("text").alias("n"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
         .select("t", "n", "at", F.xxhash64(_trimmed(F.col("line"))).alias("h"))
         .join(bad, "h")
+        .groupBy("t", "n", F.shiftright("at", 6).alias("block"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
         .groupBy("t", "n")
-        .agg(F.collect_set("at").alias("drop"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("bits"))
+        .select("t", "n", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("bits"))), lambda b: F.coalesce(F.element_at("bits", b), F.lit(0).cast("bigint"))).alias("drop"))
     )
     rows = packed(docs, t=F.xxhash64("text"), n=F.length("text")).join(found, ["t", "n"], "left")
-    lines = F.split("row_.text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
+    gone = lambda i: F.coalesce(F.getbit(F.get("drop", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))), F.lit(0)) == 1
+    kept = F.filter(F.split("row_.text", "\n"), lambda x, i: ~gone(i))
     blank = ~F.exists(kept, lambda x: _trimmed(x) != "")
     text = F.when(F.col("drop").isNull() | blank, F.col("row_.text")).otherwise(F.array_join(kept, "\n"))
     out = rows.select("row_", text.alias("text_"))

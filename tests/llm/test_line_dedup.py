@@ -69,6 +69,12 @@ def test_only_boilerplate_stays_whole(spark):
     assert all(got[900 + i] == "\n".join([*body, " \t"]) for i in range(12))
 
 
+def test_very_many_lines(spark):
+    rows = [(i, f"shared\nown {i}.", "en", f"s{i}") for i in range(12)] + [(99, "\n".join(f"own {i}" if i % 5 == 0 else "shared" for i in range(60_000)), "en", "s0")]
+    got = {r["doc_id"]: r["text"] for r in L.remove_boilerplate(documents(spark, rows)).collect()}
+    assert got[99] == "\n".join(f"own {i}" for i in range(0, 60_000, 5)) and got[3] == "own 3."
+
+
 def test_awkward(spark):
     rows = awkward(random.Random(5)) + [(200 + i, f"shared line\nown {i}\n", "en", f"w{i % 11}") for i in range(30)] + [(300, "shared line\nx y", "en", None)]
     docs = documents(spark, rows, clash=True)
