@@ -73,7 +73,7 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine with all documents' texts and sources, indexed once a session and folder."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEXES:
+    if key not in _INDEXES or not Engine(spark, _INDEXES[key]).store.exists():
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         Engine(spark, path).index_values(values(spark, sf_dir, ("text", "source")))
         _INDEXES[key] = path
