@@ -13,6 +13,8 @@ from lexigrid.shared import shared_dir
 U64 = np.uint64
 #: Bytes of text that a Python worker holds as arrays at once; longer texts are taken alone, whole.
 CHUNK_BYTES = 512 << 10
+#: Partitions of a shuffle whose groups are long work and few bytes, where merging small partitions would queue them up.
+MAX_PARTITIONS = 20_000
 #: A run of non-blank characters that is longer counts as several words where words are bounded.
 WORD_CHARS = 16
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import saved, word_count
+from lexigrid.llm.common import MAX_PARTITIONS, saved, word_count
 
 CAPACITY_TOKENS = 4096
 CAPACITY_DOCS = 32
@@ -105,5 +105,5 @@ def pack(
         rows["slot"] = rows.groupby("bin_id").cumcount().astype("int32")
         return rows[["bin_id", "slot", "doc_id", "known", "piece", "start_token", "n_tokens"]]
 
-    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "known", "copy", "piece", "n_tokens"), F.lit(groups))).groupBy("g").applyInPandas(place, SCHEMA)
+    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "known", "copy", "piece", "n_tokens"), F.lit(groups))).repartition(min(groups, MAX_PARTITIONS), "g").groupBy("g").applyInPandas(place, SCHEMA)
     return placed.select("bin_id", "slot", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "piece", "start_token", "n_tokens")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import U64, mix, packed, saved, small_batches
+from lexigrid.llm.common import MAX_PARTITIONS, U64, mix, packed, saved, small_batches
 from lexigrid.llm.words import word_hashes
 
 RADIUS = 12
@@ -155,7 +155,7 @@ def _edges(signatures: DataFrame, radius: int, radius_all: int) -> DataFrame:
 
     # One group each is a task's work of seconds to minutes: as many partitions as groups, so that they spread evenly.
     groups = max(1, len({p for _, ps in pairs for p in ps}))
-    return sent.repartition(groups, "pair").groupBy("pair").applyInPandas(compare, "a bigint, b bigint, links bigint")
+    return sent.repartition(min(groups, MAX_PARTITIONS), "pair").groupBy("pair").applyInPandas(compare, "a bigint, b bigint, links bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
