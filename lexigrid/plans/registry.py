@@ -184,7 +184,7 @@ def _extracted(f, table, id_, text):
     return run
 
 
-_TEXTS, _PAGES = ("documents", "doc_id", "text"), ("pages", "page_id", "html")  # texts hold no addresses of pages
+_TEXTS, _PAGES = ("documents", "doc_id", "text"), ("pages", "page_id", "url")  # texts hold no addresses of pages
 for _name, _f, _pattern, _where in (("regex_hosts", T.hosts, T.HOST, _TEXTS), ("regex_urls", T.urls, T.URL, _PAGES), ("regex_mails", T.mails, T.MAIL, _TEXTS)):
     QUERIES[_name] = _extracted(_f, *_where)
     SQL[_name] = f"SELECT {_where[1]}, unnest(regexp_extract_all(lower({_where[2]}), '{_pattern}')) AS found FROM {_where[0]}"
