@@ -105,32 +105,40 @@ class PostingStore:
         return commits[0]["shards"] if commits else self.config.shards
 
     def _write(self, rows: DataFrame, kind: str, replaces: list[int], commits: list[dict], tag: str | None = None) -> dict:
-        """rows: postings with deleted, and ord where an identity may come more than once; its greatest counts.
+        """rows: postings with deleted, each identity once.
 
-        One shuffle, by ranges of the whole identity, so that a frequent term's postings are many tasks' work."""
+        One shuffle, in which a frequent term's postings are many tasks' work: by shard and a hash of the identity, or for a
+        compacted generation by ranges of the identity, so that a term's postings stand in few files. Ranges are sampled from
+        the rows first, which for new rows would split all texts into words twice."""
         if self.config.read_only:
             raise PermissionError(f"{self.path} was opened for reading")
         shards, key = self._shards(commits), ["shard", *IDENTITY]
-        rows = rows.withColumn("shard", shard_column(F.col("term"), shards))
-        spread = rows.repartitionByRange(*key)
-        if "ord" in rows.columns:
-            rest = [c for c in STORED.fieldNames() if c not in key]
-            spread = spread.groupBy(*key).agg(F.max_by(F.struct(*rest), "ord").alias("v")).select(*key, "v.*")
-        spread = spread.select(*STORED.fieldNames()).sortWithinPartitions(*key)
+        rows = rows.withColumn("shard", shard_column(F.col("term"), shards)).select(*STORED.fieldNames())
+        if kind == "compact":
+            spread = rows.repartitionByRange(*key)
+        else:
+            parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+            spread = rows.repartition("shard", F.pmod(F.hash(*IDENTITY), F.lit(parts)))
+        spread = spread.sortWithinPartitions(*key)
         folder = uuid.uuid4().hex
         spread.write.option("compression", self.config.codec).option("maxRecordsPerFile", self.config.page_rows).partitionBy("shard").parquet(f"{self.path}/data/{folder}")
         return self._commit(folder, kind, replaces, shards, tag)
 
     # -- writes ------
 
-    def append(self, postings: DataFrame, tag: str | None = None) -> dict:
+    def append(self, postings: DataFrame, tag: str | None = None, once: bool = False) -> dict:
         """Insert or replace postings; one atomic generation a call. Of an identity that comes more than once the row with the
-        greatest ord counts, any if there is no such column. tag: a name for the batch; if it was committed, nothing is done."""
+        greatest ord counts, any if there is no such column; that takes a shuffle more, unless it is known that each comes once.
+        tag: a name for the batch; if it was committed, nothing is done."""
         commits = self.commits()
         if tag is not None and (done := [c for c in commits if c.get("tag") == tag]):
             return done[0]
-        order = F.col("ord") if "ord" in postings.columns else F.lit(0)
-        return self._write(postings.select(*POSTINGS.fieldNames(), F.lit(False).alias("deleted"), order.alias("ord")), "append", [], commits, tag)
+        rows = postings.select(*POSTINGS.fieldNames())
+        if not once:
+            rest = [c for c in POSTINGS.fieldNames() if c not in IDENTITY]
+            order = "ord" if "ord" in postings.columns else F.lit(0)
+            rows = postings.groupBy(*IDENTITY).agg(F.max_by(F.struct(*rest), order).alias("v")).select(*IDENTITY, "v.*")
+        return self._write(rows.withColumn("deleted", F.lit(False)), "append", [], commits, tag)
 
     def delete(self, keys: DataFrame, report_missing: bool = True) -> DataFrame:
         """keys (mailbox, attr, term, ts, id): remove these postings. Gives the keys that weren't there, read when asked for from

@@ -62,7 +62,9 @@ class Engine:
     def index_values(self, values: DataFrame, tag: str | None = None) -> dict:
         """A batch of attribute values (schema.VALUES); all or nothing becomes visible. A posting that comes more than once is that
         of the last value, as if they were indexed one after the other. tag: see PostingStore.append."""
-        return self.store.append(postings(arrived(values), self.analyzer), tag)
+        key = ["mailbox", "attr", "ts", "id"]
+        once = values.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()  # reads no texts
+        return self.store.append(postings(values if once else arrived(values), self.analyzer), tag, once)
 
     def index(self, requests_: DataFrame, text: str = "value") -> dict:
         """A batch of JSON index requests, one a row. BadRequest if no document in it is valid."""
