@@ -67,6 +67,58 @@ def test_tiles_skip_by_bit_count():
     assert len(simhash.near_pairs(low, high, 12, 256)[0]) == 0 and len(simhash.near_pairs(low, high, 64, 256)[0]) == 25
 
 
+@pytest.mark.parametrize("radius", [0, 2, 3, 7, 12, 14])
+def test_parts_find_every_pair(radius, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_WORK", 0)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    rng = np.random.default_rng(radius)
+    x = rng.integers(0, 2**64, (900, 4), dtype=np.uint64)
+    for i in range(300, 900):  # 0 to radius + 2 bits of the first word, anywhere
+        x[i] = x[rng.integers(0, 300)]
+        for b in rng.choice(64, rng.integers(0, radius + 3), replace=False):
+            x[i, 0] ^= np.uint64(1) << np.uint64(b)
+    x[600:, 1] ^= np.uint64(2**50 - 1)
+    x = x[rng.permutation(len(x))]
+    bits = np.bitwise_count(x[:, None] ^ x[None])
+    near = (bits[:, :, 0] <= radius) & (bits.sum(axis=2) <= simhash.RADIUS_ALL)
+    got = list(zip(*(p.tolist() for p in simhash.near_pairs(x, None, radius, simhash.RADIUS_ALL))))
+    assert len(got) == len(set(got)) > 200 and set(got) == set(zip(*(p.tolist() for p in np.triu(near, 1).nonzero())))
+    got = list(zip(*(p.tolist() for p in simhash.near_pairs(x[:500], x[500:], radius, simhash.RADIUS_ALL))))
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(p.tolist() for p in near[:500, 500:].nonzero())))
+
+
+def test_few_of_all_pairs_are_compared(monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_WORK", 0, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**64, (6000, 4), dtype=np.uint64)
+    x[3000:3100] = x[:100]
+    count, compared = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda v, *a, **k: (compared.append(np.size(v)), count(v, *a, **k))[1])
+    for y, n, pairs in ((None, 100, 6000 * 5999 / 2), (x, 6200, 6000 * 6000)):
+        compared.clear()
+        assert len(simhash.near_pairs(x, y, simhash.RADIUS, simhash.RADIUS_ALL)[0]) == n and sum(compared) < 0.05 * pairs
+
+
+def test_crowded_signatures_are_compared_as_a_whole(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 1000)
+    x = np.full((300, 4), 77, np.uint64)
+    x[:, 1] = np.arange(300)
+    a, b = simhash.near_pairs(x, None, simhash.RADIUS, simhash.RADIUS_ALL)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a) == 300 * 299 // 2 and (a < b).all()
+
+
+def test_each_pair_of_tiles_has_its_partition(spark):
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 2**63, 60)
+    two = [[int(v) for v in one] for _ in range(4)]
+    rows = [(i * 2 + j, two[0][i], two[1][i], two[2][i], two[3][i] ^ j, 1) for i in range(60) for j in range(2)]
+    rows += [(200 + i, (1 << w) - 1, 3, 3, 3, 1) for i, w in enumerate(range(20, 45))]  # near each other across tiles
+    edges = simhash._edges(spark.createDataFrame(rows, "sid bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, m bigint"), simhash.RADIUS, simhash.RADIUS_ALL)
+    assert edges.rdd.getNumPartitions() > 15
+    filled = [len(p) for p in edges.rdd.glom().collect()]
+    assert min(filled) > 0 and sum(filled) > 120
+
+
 @pytest.mark.parametrize("pairs", [simhash.BROADCAST_PAIRS, 0])
 def test_groups_against_brute_force(spark, pairs, monkeypatch):
     monkeypatch.setattr(simhash, "BROADCAST_PAIRS", pairs)
