@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import line_dedup, mixing, packing, quality, registry, token_store
+from lexigrid.llm import line_dedup, mixing, packing, quality, registry, simhash, token_store
 
 from .helpers import documents, words
 from .test_line_dedup import brute as brute_lines
@@ -107,3 +107,22 @@ def test_queries(spark, name):
         want = con.execute(sql).df()
         key = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
         assert key(got) == key(want)
+
+
+def test_near_dedup_spreads_its_pairs_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MIN_TILES", 4)
+    rng = random.Random(6)
+    base = words(rng, 300).split()
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(300), 4):
+            w[at] = words(rng, 1)
+        texts.append(" ".join(w))
+    texts.append(words(rng, 80))
+    docs, seen = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), []
+    edges = simhash._edges
+    monkeypatch.setattr(simhash, "_edges", lambda *a: seen.append(edges(*a)) or seen[-1])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [0, 60]
+    filled = [len(p) for p in seen[0].rdd.glom().collect()]
+    assert len(filled) == 10 and min(filled) > 0
