@@ -38,20 +38,32 @@ MAX_LIMIT = 4
 PAIRS_AT_ONCE = 1 << 20
 _BLOCK = (32, 4096)
 _CELLS = 1 << 15
+#: Rows of bits that one byte can count.
+_BYTE_ROWS = 255
 WORDS = ["s0", "s1", "s2", "s3"]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values of x in order, each once. np.unique makes a hash table of them, which takes five times as long as to sort."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def signature(words: np.ndarray) -> np.ndarray:
     """Four words of bits, each bit the majority over distinct features; zeros without words."""
     out = np.zeros(4, U64)
     if not len(words):
         return out
-    single = np.unique(words)
-    pairs = np.unique(mix(words[:-1] * U64(3) + mix(words[1:]))) if len(words) > 1 else single
+    single = _distinct(words)
+    pairs = _distinct(mix(words[:-1] * U64(3) + mix(words[1:]))) if len(words) > 1 else single
     for at, f in ((0, single), (2, pairs)):
         h = np.empty((len(f), 2), U64)
         h[:, 0], h[:, 1] = mix(f), mix(f ^ U64(0x5851F42D4C957F2D))
-        ones = np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        ones = np.zeros(128, np.int64)
+        for i in range(0, len(h), _BYTE_ROWS):
+            ones += np.unpackbits(h[i : i + _BYTE_ROWS].view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
         out[at : at + 2] = np.packbits(ones * 2 > len(f)).view(U64)
     return out
 

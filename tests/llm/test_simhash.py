@@ -51,6 +51,22 @@ def test_words():
     assert len(word_hashes(["Été Ω"])[0]) == 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 254, 255, 256, 510, 511, 40_000])
+def test_signature_by_definition(n, monkeypatch):
+    """Every bit is the majority over distinct words or pairs, whatever their number; without np.unique's slow hash table."""
+    hashes = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    text = np.concatenate([hashes, hashes[: n // 3], hashes[:1]])
+    salt, mix = np.uint64(0x5851F42D4C957F2D), simhash.mix
+    want = []
+    for f in ({*text.tolist()}, {*mix(text[:-1] * np.uint64(3) + mix(text[1:])).tolist()}):
+        f = np.array(sorted(f), np.uint64)
+        for h in (mix(f), mix(f ^ salt)):
+            ones = [int(np.count_nonzero(h.view(np.uint8).reshape(-1, 8)[:, b // 8] >> (7 - b % 8) & 1)) for b in range(64)]
+            want.append(np.packbits([2 * o > len(f) for o in ones]).view(np.uint64)[0])
+    monkeypatch.setattr(np, "unique", lambda *a, **k: pytest.fail("np.unique"))
+    assert simhash.signature(text).tolist() == want and text.tolist() == [*hashes, *hashes[: n // 3], hashes[0]]
+
+
 def test_tiles_find_every_pair():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, (700, 4), dtype=np.uint64)
