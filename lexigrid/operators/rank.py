@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.plans.request import Terms
@@ -23,57 +23,65 @@ def _coded(ranks: tuple[int, ...]) -> str:
     return "".join(map(_char, ranks))
 
 
-def _char_of(terms: Terms) -> Column:
-    """The character of a list's local rank. A map literal, as long chains of conditions overflow the stack of the optimizer."""
-    table: dict[str, dict[str, str]] = {}
-    for (attr, term), r in terms.local_rank().items():
-        table.setdefault(attr, {})[term] = _char(r)
-    return F.coalesce(*[F.when(F.col("x.attr") == attr, literal_map(own, F.col("x.term"))) for attr, own in table.items()])
-
-
 def literal_map(table: dict, key: Column) -> Column:
     """table[key], null if it isn't there."""
     return F.element_at(F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values()))), key)
 
 
-def relevance(hits: DataFrame, terms: Terms, combine: str = "last") -> DataFrame:
-    """hits (ts, id, ..., indexes) -> (ts, id, relevance).
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once a row however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    For an attribute with L words asked for, the hits' positions are merged and cut into runs of adjacent ones. Over each
-    run slides a window of L, up to the first that is shorter. With the least edit distance d between the asked ranks and a
-    window's, c windows at that distance and n hits in all: relevance = (1 - d / L) * c / n. With several attributes the last
-    asked for counts; combine "max" or "mean" takes them all.
 
-    All steps keep the partitioning of the first, on (ts, id, attr)."""
+def _score(terms: Terms, attr: str) -> Column:
+    """The relevance of one attribute, from a hit's own positions; null if it has none."""
+    vector = terms.ivec[attr]
+    table = {t: _char(r) for (a, t), r in terms.local_rank().items() if a == attr}
+    own = F.filter("indexes", lambda x: x["attr"] == attr)
+    merged = F.array_sort(F.flatten(F.transform(own, lambda x: _let(literal_map(table, x["term"]), lambda c: F.transform(x["positions"], lambda p: F.struct(p.alias("pos"), c.alias("r")))))))
+
+    def runs(m: Column) -> Column:  # a blank, which is no rank's character, before each hit that isn't next to the last one
+        return F.split(F.array_join(F.transform(m, lambda x, i: F.when((i > 0) & (x["pos"] != F.get(m, i - 1)["pos"] + 1), F.concat(F.lit(" "), x["r"])).otherwise(x["r"])), ""), " ")
+
+    def distances(d: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.length(d) - len(vector) + 1, F.lit(0)))
+        return F.transform(places, lambda at: F.levenshtein(F.lit(_coded(vector)), F.substring(d, at + 1, F.lit(len(vector)))))
+
+    def score(all_: Column, hits: Column) -> Column:
+        return _let(F.array_min(all_), lambda least: (1 - least / len(vector)) * (F.size(F.filter(all_, lambda d: d == least)) / hits))
+
+    return _let(merged, lambda m: F.when(F.size(m) > 0, _let(F.flatten(F.transform(runs(m), distances)), lambda all_: score(all_, F.size(m)))))
+
+
+def scored(hits: DataFrame, terms: Terms, combine: str = "last") -> DataFrame:
+    """hits that have a position of an attribute that counts, with relevance."""
     if combine not in ("last", "max", "mean"):
         raise ValueError(combine)
     attrs = list(terms.ivec)
     if not attrs:
-        return hits.select("ts", "id", F.lit(0.0).alias("relevance")).where(F.lit(False))
+        return hits.withColumn("relevance", F.lit(0.0)).where(F.lit(False))
     used = attrs[-1:] if combine == "last" else attrs
-    length, asked = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for a in used:
-        length = F.when(F.col("attr") == a, F.lit(len(terms.ivec[a]))).otherwise(length)
-        asked = F.when(F.col("attr") == a, F.lit(_coded(terms.ivec[a]))).otherwise(asked)
-    flat = hits.select("ts", "id", F.explode("indexes").alias("x")).where(F.col("x.attr").isin(used))
-    flat = flat.select("ts", "id", F.col("x.attr").alias("attr"), _char_of(terms).alias("r"), F.explode("x.positions").alias("pos"))
-    doc = ["ts", "id", "attr"]
-    flat = flat.withColumns({"run": F.col("pos") - F.row_number().over(Window.partitionBy(*doc).orderBy("pos")), "hits": F.count("*").over(Window.partitionBy(*doc))})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]), "")
-    runs = flat.groupBy(*doc, "run").agg(text.alias("d"), F.first("hits").alias("hits")).withColumns({"len": length, "asked": asked})
-    windows = runs.select(*doc, "hits", "len", "asked", "d", F.explode(F.sequence(F.lit(0), F.greatest(F.length("d") - F.col("len") + 1, F.lit(0)))).alias("at"))
-    distance = F.levenshtein("asked", F.substring(F.col("d"), F.col("at") + 1, F.col("len")))
-    counted = windows.groupBy(*doc, distance.alias("dist")).agg(F.count("*").alias("n"), F.first("hits").alias("hits"), F.first("len").alias("len"))
-    best = counted.groupBy(*doc).agg(F.min(F.struct("dist", "n", "hits", "len")).alias("b"))
-    score = (1 - F.col("b.dist") / F.col("b.len")) * (F.col("b.n") / F.col("b.hits"))
-    joined = {"last": F.max, "max": F.max, "mean": F.avg}[combine]
-    return best.groupBy("ts", "id").agg(joined(score).alias("relevance"))
+    scores = F.array_compact(F.array(*[_score(terms, a) for a in used]))
+    joined = F.array_max(scores) if combine != "mean" else _let(scores, lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
+    some = F.exists("indexes", lambda x: x["attr"].isin(used) & (F.size(x["positions"]) > 0))
+    return hits.where(some).withColumn("relevance", joined)
+
+
+def relevance(hits: DataFrame, terms: Terms, combine: str = "last") -> DataFrame:
+    """hits (ts, id, ..., indexes; each once) -> (ts, id, relevance).
+
+    For an attribute with L words asked for, the hits' positions are merged and cut into runs of adjacent ones. Over each
+    run slides a window of L, up to the first that is shorter. With the least edit distance d between the asked ranks and a
+    window's, c windows at that distance and n hits in all: relevance = (1 - d / L) * c / n. With several attributes the last
+    asked for counts; combine "max" or "mean" takes them all.
+
+    A hit has all its positions, so this is of one row alone: neither a shuffle nor a join."""
+    return scored(hits, terms, combine).select("ts", "id", "relevance")
 
 
 def ranked(hits: DataFrame, terms: Terms, combine: str = "last", phrase: bool = False) -> DataFrame:
     """hits with relevance, most relevant first, ties by (ts, id). phrase keeps only documents with an exact run of the words."""
-    scores = relevance(hits, terms, combine).withColumnsRenamed({"ts": "ts_", "id": "id_"})
-    out = hits.join(scores, (F.col("ts") == F.col("ts_")) & (F.col("id") == F.col("id_"))).drop("ts_", "id_")
+    out = scored(hits, terms, combine)
     if phrase:
         out = out.where(has_phrase(terms))
     return out.orderBy(F.desc("relevance"), "ts", "id")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.functions.timestamps import pack_py
 from lexigrid.operators.intersect import count_matches, intersect, intersect_batch, intersect_by_joins
@@ -187,3 +188,9 @@ def test_repeated_identities_count_once(spark):
         assert count_matches(twice, "m", terms).first()["n"] == len(want)
         asked = spark.createDataFrame([("q", "m", a, t, i) for i, (a, t) in enumerate(terms.lists)], "qid string, mailbox string, attr string, term string, ord int")
         assert sorted(r["id"] for r in intersect_batch(twice, asked).collect()) == want
+
+
+def test_relevance_needs_no_shuffle(spark):
+    found = make(spark, {"d1": "a b x b a", "d2": "b a"}).groupBy("ts", "id").agg(F.collect_list(F.struct("attr", "term", "positions")).alias("indexes"))
+    plan = relevance(found, Terms.of({"text": "a b"}))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 0 and "Join" not in plan and "Window" not in plan and plan.count("Aggregate") <= 2
