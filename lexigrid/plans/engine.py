@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from lexigrid.functions.text import words
 from lexigrid.functions.timestamps import unpack_py
 from lexigrid.operators import catalog
 from lexigrid.operators.intersect import intersect, intersect_batch
-from lexigrid.operators.paging import page, top_k
+from lexigrid.operators.paging import page, paged, top_k
 from lexigrid.operators.postings import Analyzer, arrived, postings
-from lexigrid.operators.rank import has_phrase, ranked
+from lexigrid.operators.rank import has_phrase, ranked, scored
 from lexigrid.operators.store import PostingStore
 from lexigrid.plans.request import BadRequest, SearchRequest, Terms
 from lexigrid.schema import IDENTITY
@@ -129,14 +130,29 @@ class Engine:
             hits = self._ranked(request, self.spark.createDataFrame(hits, found.schema), phrase).collect()
         return SearchResult(hits, completed, start)
 
+    def all_pages(self, request: SearchRequest) -> DataFrame:
+        """All matches from the request's cookie on with relevance and page, the number from 0 of the page of request.num that each
+        is on: a DataFrame by one scan, nothing of which comes to the driver."""
+        terms = self.terms(request)
+        found = intersect(self.store.read([t for _, t in terms.lists]), request.mailbox, terms, request.cookie)
+        return scored(paged(found, request.num), terms, request.combine or self.combine)
+
     def pages(self, request: SearchRequest):
-        """Every page of a request in turn."""
-        while True:
-            result = self.search(request)
-            yield result
-            if result.completed or not request.num:
-                return
-            request = request.at(result.start)
+        """Every page of a request in turn, as search() gives them from cookie to cookie. One scan answers them all, as the index is
+        when the first is asked for; the driver holds two pages and what a task gives."""
+        if not request.num or not self.terms(request).lists:
+            yield self.search(request)
+            return
+        rows = self.all_pages(request)
+        rows = rows.orderBy("page", F.desc("relevance"), "ts", "id").select("page", F.struct(*[c for c in rows.columns if c != "page"]).alias("d"))
+        last: list = []
+        for _, group in groupby(rows.toLocalIterator(), lambda r: r["page"]):
+            docs = [r["d"] for r in group]
+            if last:
+                first = min(docs, key=lambda d: (d["ts"], d["id"].encode()))
+                yield SearchResult(last, False, f"{first['ts']}:{first['id']}")
+            last = docs
+        yield SearchResult(last, True, "" if last else request.start)
 
     def best(self, request: SearchRequest, k: int) -> DataFrame:
         """The k most relevant of all matches, as an extension."""

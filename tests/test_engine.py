@@ -222,3 +222,21 @@ def test_stream(spark, tmp_path):
         (inbox / f"{n}.json").write_text(text)
         follow(e, str(inbox), str(tmp_path / "cp"), compact_every=2, available_now=True).awaitTermination(120)
     assert [d["id"] for d in e.search(SearchRequest("m", {"text": "a"})).docs] == ["d2", "d1"]
+
+
+def test_pages_read_the_index_once(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=2))
+    e.index(lines(spark, *[request(doc(f"d{i}", "a b " * (i % 3 + 1), i // 2)) for i in range(23)]))
+    asked = SearchRequest("m", {"text": "a b"}, 4)
+    want, at = [], asked
+    while not want or want[-1].start:
+        want.append(e.search(at))
+        at = asked.at(want[-1].start)
+    read, scans = e.store.read, []
+    monkeypatch.setattr(e.store, "read", lambda *args: scans.append(args) or read(*args))
+    assert list(e.pages(asked)) == want and len(want) == 6
+    assert len(scans) == 1
+    rows = e.all_pages(asked).collect()
+    assert sorted((r["page"], r["id"]) for r in rows) == sorted((n, d["id"]) for n, p in enumerate(want) for d in p.docs)
+    assert [len(p.docs) for p in e.pages(asked.at(want[-2].start))] == [3]
+    assert list(e.pages(SearchRequest("m", {"text": "none"}, 4, "1:x"))) == [e.search(SearchRequest("m", {"text": "none"}, 4, "1:x"))]
