@@ -97,3 +97,21 @@ def test_stats(spark):
     got = {r["backend_id"]: r for r in rows.collect()}
     assert got.keys() == {0, 1} and got[0]["level"] == "soft" and got[1]["size_limit"] == 200 and got[0]["vfs_avail"] == 12
     assert stats.by_group(rows).first()["records_total"] == 18
+
+
+def test_words_of_few_pages_are_held_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    pages, got = spark.createDataFrame([("a", "<p>x</p>")], "page_id string, html string"), []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, schema: got.append(run) or self)
+    markup.html_words(pages)
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(1000)], "html": [f"<p>w{i}</p>" for i in range(999)] + [None]})
+    out = list(got[0](iter([batch])))
+    assert max(len(set(b.column("id").to_pylist())) for b in out) <= 64
+    assert sorted(zip(*(sum((b.column(c).to_pylist() for b in out), []) for c in ("id", "word")))) == sorted((str(i), w) for i in range(999) for w in ("p", f"w{i}"))
+
+
+def test_messages_are_hashed_outside_the_plan(spark):
+    made = synthetic.messages(spark, 5000, words=3, vocabulary=50)
+    assert made.rdd.getNumPartitions() >= 2 and "md5" not in made.select("value")._jdf.queryExecution().optimizedPlan().toString()
+    assert len({len(r["value"].split()) for r in made.collect()}) == 1
