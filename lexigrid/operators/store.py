@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lexigrid.config import EngineConfig
 from lexigrid.schema import IDENTITY, POSTINGS, STORED
+from lexigrid.shared import shared_dir
 
 #: What orders writes of a posting when rows are read: the generation, or of a compacted one the last that it replaced.
 SEQ = T.StructField("seq", T.LongType())
@@ -104,31 +105,35 @@ class PostingStore:
     def _shards(self, commits: list[dict]) -> int:
         return commits[0]["shards"] if commits else self.config.shards
 
-    def _write(self, rows: DataFrame, kind: str, replaces: list[int], commits: list[dict], tag: str | None = None) -> dict:
+    def shards(self) -> int:
+        return self._shards(self.commits())
+
+    def _write(self, rows: DataFrame, kind: str, replaces: list[int], commits: list[dict], tag: str | None = None, spread: bool = True) -> dict:
         """rows: postings with deleted, each identity once.
 
-        One shuffle, in which a frequent term's postings are many tasks' work: by shard and a hash of the identity, or for a
+        One shuffle, in which a frequent term's postings are many tasks' work: by shard and a hash of the document, or for a
         compacted generation by ranges of the identity, so that a term's postings stand in few files. Ranges are sampled from
-        the rows first, which for new rows would split all texts into words twice."""
+        the rows first, which for new rows would split all texts into words twice. spread False: none, if the rows' tasks are even
+        as they are; each sorts its own and has a file of each shard."""
         if self.config.read_only:
             raise PermissionError(f"{self.path} was opened for reading")
         shards, key = self._shards(commits), ["shard", *IDENTITY]
         rows = rows.withColumn("shard", shard_column(F.col("term"), shards)).select(*STORED.fieldNames())
-        if kind == "compact":
-            spread = rows.repartitionByRange(*key)
-        else:
+        if spread and kind == "compact":
+            rows = rows.repartitionByRange(*key)
+        elif spread:
             parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // shards)
-            spread = rows.repartition("shard", F.pmod(F.hash(*IDENTITY), F.lit(parts)))
-        spread = spread.sortWithinPartitions(*key)
+            rows = rows.repartition("shard", F.pmod(F.hash("mailbox", "ts", "id"), F.lit(parts)))
         folder = uuid.uuid4().hex
-        spread.write.option("compression", self.config.codec).option("maxRecordsPerFile", self.config.page_rows).partitionBy("shard").parquet(f"{self.path}/data/{folder}")
+        rows.sortWithinPartitions(*key).write.option("compression", self.config.codec).option("maxRecordsPerFile", self.config.page_rows).partitionBy("shard").parquet(f"{self.path}/data/{folder}")
         return self._commit(folder, kind, replaces, shards, tag)
 
     # -- writes ------
 
     def append(self, postings: DataFrame, tag: str | None = None, once: bool = False) -> dict:
         """Insert or replace postings; one atomic generation a call. Of an identity that comes more than once the row with the
-        greatest ord counts, any if there is no such column; that takes a shuffle more, unless it is known that each comes once.
+        greatest ord counts, any if there is no such column. once: it is known that each comes once, and in tasks of an even size, so
+        that no shuffle is needed.
         tag: a name for the batch; if it was committed, nothing is done."""
         commits = self.commits()
         if tag is not None and (done := [c for c in commits if c.get("tag") == tag]):
@@ -138,16 +143,16 @@ class PostingStore:
             rest = [c for c in POSTINGS.fieldNames() if c not in IDENTITY]
             order = "ord" if "ord" in postings.columns else F.lit(0)
             rows = postings.groupBy(*IDENTITY).agg(F.max_by(F.struct(*rest), order).alias("v")).select(*IDENTITY, "v.*")
-        return self._write(rows.withColumn("deleted", F.lit(False)), "append", [], commits, tag)
+        return self._write(rows.withColumn("deleted", F.lit(False)), "append", [], commits, tag, spread=not once)
 
-    def delete(self, keys: DataFrame, report_missing: bool = True) -> DataFrame:
+    def delete(self, keys: DataFrame, report_missing: bool = True, once: bool = False) -> DataFrame:
         """keys (mailbox, attr, term, ts, id): remove these postings. Gives the keys that weren't there, read when asked for from
-        the generations before this one, so before a vacuum() that deletes those."""
+        the generations before this one, so before a vacuum() that deletes those. once: see append()."""
         commits = self.commits()
-        keys = keys.select(*IDENTITY).distinct()
+        keys = keys.select(*IDENTITY) if once else keys.select(*IDENTITY).distinct()
         missing = keys.join(self.read(commits=commits).select(*IDENTITY), IDENTITY, "left_anti") if report_missing else keys.limit(0)
         tombs = keys.select(*IDENTITY, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "string"), ("key", "string"), ("positions", "array<bigint>"))], F.lit(True).alias("deleted"))
-        self._write(tombs, "delete", [], commits)
+        self._write(tombs, "delete", [], commits, spread=not once)
         return missing
 
     def compact(self) -> dict | None:
@@ -194,13 +199,27 @@ class PostingStore:
             rows = rows.where(F.col("shard").isin(sorted({shard_of(t, shards) for t in terms})) & F.col("term").isin(list(terms)))
         return rows
 
-    def read(self, terms: list[str] | None = None, commits: list[dict] | None = None) -> DataFrame:
-        """Postings in force, each identity once. Of one compacted or appended generation that needs no shuffle."""
+    def read(self, terms: list[str] | None = None, commits: list[dict] | None = None, columns: list[str] | None = None, broadcast_rows: int = 4_000_000) -> DataFrame:
+        """Postings in force, each identity once, or columns of them. Of one compacted or appended generation that needs no shuffle.
+
+        Of several the postings are shuffled that are of documents in a later generation than the first; if these documents are more
+        than broadcast_rows, and if only terms are read, all."""
         commits = self.commits() if commits is None else commits
-        rows = self.stored(terms, commits=commits)
-        if len(self.generations(commits)) <= 1:
-            return rows.where("NOT deleted").select(*POSTINGS.fieldNames())
-        return latest(rows).select(*POSTINGS.fieldNames())
+        gens, columns = self.generations(commits), columns or POSTINGS.fieldNames()
+        if len(gens) <= 1:
+            return self.stored(terms, commits=commits).where("NOT deleted").select(*columns)
+        own = [c for c in STORED.fieldNames() if c in IDENTITY or c == "deleted" or c in columns]
+        if terms is None:
+            changed = f"{shared_dir(self.spark)}/changed-{uuid.uuid4().hex}"  # a hash that is in it by chance only costs a shuffle
+            doc = F.xxhash64("mailbox", "ts", "id").alias("doc")
+            self.stored(commits=gens[1:]).select(doc).distinct().write.parquet(changed)
+            changed = self.spark.read.parquet(changed)
+            if changed.count() <= broadcast_rows:
+                first, later = self.stored(commits=gens[:1]).select(*own, "seq", doc), self.stored(commits=gens[1:]).select(*own, "seq")
+                same = first.join(F.broadcast(changed), "doc", "left_anti").where("NOT deleted")
+                rest = first.join(F.broadcast(changed), "doc", "left_semi").drop("doc").unionByName(later)
+                return same.select(*columns).unionByName(latest(rest.repartition(*IDENTITY)).select(*columns))
+        return latest(self.stored(terms, commits=commits).select(*own, "seq")).select(*columns)
 
 
 def latest(rows: DataFrame) -> DataFrame:

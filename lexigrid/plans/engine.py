@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,10 @@ from lexigrid.plans.request import BadRequest, SearchRequest, Terms
 from lexigrid.schema import IDENTITY
 from lexigrid.sources import requests
 
+#: Bytes of values that a task indexes, so many that their postings are sorted in memory (about 20 bytes of it a byte), and the
+#: least for which it is worth a task while there are cores.
+TASK_BYTES, LEAST_BYTES = 24 << 20, 1 << 20
+
 
 @dataclass(frozen=True)
 class SearchResult:
@@ -63,9 +68,14 @@ class Engine:
     def index_values(self, values: DataFrame, tag: str | None = None) -> dict:
         """A batch of attribute values (schema.VALUES); all or nothing becomes visible. A posting that comes more than once is that
         of the last value, as if they were indexed one after the other. tag: see PostingStore.append."""
-        key = ["mailbox", "attr", "ts", "id"]
-        once = values.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()  # reads no texts
-        return self.store.append(postings(values if once else arrived(values), self.analyzer), tag, once)
+        each = values.groupBy("mailbox", "attr", "ts", "id").agg(F.count("*").alias("n"), F.sum(F.octet_length("value").cast("bigint")).alias("bytes"))
+        most, size = each.agg(F.max("n"), F.sum("bytes")).first()
+        if (most or 0) > 1:
+            return self.store.append(postings(arrived(values), self.analyzer), tag)
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = max(1, -(-(size or 0) // TASK_BYTES), min(cores, (size or 0) // LEAST_BYTES))
+        own = values.repartition(parts, "mailbox", "ts", "id")
+        return self.store.append(postings(own, self.analyzer, self.store.shards()), tag, once=True)
 
     def index(self, requests_: DataFrame, text: str = "value") -> dict:
         """A batch of JSON index requests, one a row. BadRequest if no document in it is valid."""
@@ -81,10 +91,12 @@ class Engine:
         """Remove postings by (mailbox, attr, term, ts, id); gives those that weren't there."""
         return self.store.delete(keys)
 
-    def remove_documents(self, documents: DataFrame) -> None:
-        """Remove all postings of documents (mailbox, ts, id)."""
-        keys = self.store.read().join(documents.select("mailbox", "ts", "id").distinct(), ["mailbox", "ts", "id"], "left_semi").select(*IDENTITY)
-        self.store.delete(keys, report_missing=False)
+    def remove_documents(self, documents: DataFrame, broadcast_rows: int = 2_000_000) -> None:
+        """Remove all postings of documents (mailbox, ts, id), which are broadcast if they are at most broadcast_rows."""
+        own = documents.select("mailbox", "ts", "id").distinct()
+        small = own.limit(broadcast_rows + 1).count() <= broadcast_rows
+        keys = self.store.read(columns=IDENTITY).join(F.broadcast(own) if small else own, ["mailbox", "ts", "id"], "left_semi").select(*IDENTITY)
+        self.store.delete(keys, report_missing=False, once=True)
 
     def compact(self) -> dict | None:
         return self.store.compact()
@@ -183,6 +195,11 @@ class Engine:
     def page_dump(self, file: str) -> DataFrame:
         return catalog.page_dump(self.spark, file)
 
+    def generation_dump(self) -> DataFrame:
+        """What every file of the generations in force holds: see catalog.folder_dump."""
+        folders = [f"{self.store.path}/data/{g['folder']}" for g in self.store.generations()]
+        return reduce(DataFrame.unionByName, [catalog.folder_dump(self.spark, f) for f in folders])
+
     def never_fewer(self, request: SearchRequest, before: int) -> int:
         """How many documents match now; an error if they are fewer than before, though none was removed."""
         n = self.matches(request).select(F.count("*")).first()[0]
