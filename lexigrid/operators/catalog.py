@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from lexigrid.functions.text import printable
 from lexigrid.functions.timestamps import nanoseconds, seconds
 from lexigrid.operators.store import PostingStore
-from lexigrid.schema import STORED
+from lexigrid.schema import IDENTITY, STORED
 
 
 def lookup(postings: DataFrame, mailbox: str, attr: str, term: str, ts: int, id: str) -> DataFrame:  # noqa: A002
@@ -35,9 +35,9 @@ def index_meta(postings: DataFrame) -> DataFrame:
 def store_meta(store: PostingStore) -> DataFrame:
     """index_meta of a store, with the number of files that hold a list and when the store last changed."""
     commits = store.commits()
-    files = store.stored(file=True, commits=commits).groupBy("mailbox", "attr", "term").agg(F.countDistinct("file").alias("num_files"))
+    files = store.stored(file=True, commits=commits).groupBy("mailbox", "attr", "term").agg(F.countDistinct(F.xxhash64("file")).alias("num_files"))  # a path's 64 bits stand for it
     last = max(((g["sec"], g["nsec"]) for g in commits), default=(0, 0))
-    return index_meta(store.read(commits=commits)).join(files, ["mailbox", "attr", "term"], "left").withColumns({"generation_sec": F.lit(last[0]).cast("bigint"), "generation_nsec": F.lit(last[1]).cast("bigint")})
+    return index_meta(store.read(commits=commits, columns=[*IDENTITY, "bucket", "key"])).join(files, ["mailbox", "attr", "term"], "left").withColumns({"generation_sec": F.lit(last[0]).cast("bigint"), "generation_nsec": F.lit(last[1]).cast("bigint")})
 
 
 def pages(store: PostingStore) -> DataFrame:
@@ -53,6 +53,12 @@ def page_dump(spark: SparkSession, file: str) -> DataFrame:
     return rows.withColumn("place", F.col("_metadata.row_index")).select("place", *rows.columns).orderBy("place")
 
 
+def folder_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, place, ...): page_dump of every file of a folder, unordered: each file's order is that of place."""
+    rows = spark.read.schema(StructType([f for f in STORED.fields if f.name != "shard"])).parquet(folder)
+    return rows.withColumns({"file": F.col("_metadata.file_path"), "place": F.col("_metadata.row_index")}).select("file", "place", *rows.columns)
+
+
 def dump(postings: DataFrame) -> DataFrame:
     """A printable line a posting."""
     return postings.select(F.format_string("id: %s, url: %s:%s, ts: %d.%d, positions: %s", printable(F.col("id")), printable(F.coalesce("bucket", F.lit(""))), printable(F.coalesce("key", F.lit(""))), seconds(F.col("ts")), nanoseconds(F.col("ts")), F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")).alias("line"))

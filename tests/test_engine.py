@@ -240,3 +240,44 @@ def test_pages_read_the_index_once(spark, tmp_path, monkeypatch):
     assert sorted((r["page"], r["id"]) for r in rows) == sorted((n, d["id"]) for n, p in enumerate(want) for d in p.docs)
     assert [len(p.docs) for p in e.pages(asked.at(want[-2].start))] == [3]
     assert list(e.pages(SearchRequest("m", {"text": "none"}, 4, "1:x"))) == [e.search(SearchRequest("m", {"text": "none"}, 4, "1:x"))]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().sparkPlan().toString().count("Exchange rangepartitioning") + df._jdf.queryExecution().optimizedPlan().toString().count("Sort [")
+
+
+def test_new_documents_are_written_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=4))
+    plans, write = [], e.store._write
+    monkeypatch.setattr(e.store, "_write", lambda *args, **more: plans.append(more) or write(*args, **more))
+    e.index(lines(spark, *[request(doc(f"d{i}", f"a w{i} b a", i)) for i in range(40)]))
+    e.remove_documents(spark.createDataFrame([("m", pack_py(3), "d3"), ("m", pack_py(9), "none")], "mailbox string, ts bigint, id string"))
+    assert [m["spread"] for m in plans] == [False, False]
+    files = e.generation_dump()
+    assert files.groupBy("file").count().count() == e.page_files().count()
+    for r in files.orderBy("file", "place").groupBy("file").agg(F.collect_list(F.struct("mailbox", "attr", "term", "ts", "id")).alias("k")).collect():
+        assert r["k"] == sorted(r["k"])
+    assert sorted(r["id"] for r in e.matches(SearchRequest("m", {"text": "a b"})).collect()) == sorted(f"d{i}" for i in range(40) if i != 3)
+
+
+def test_only_changed_documents_are_merged(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=4))
+    e.index(lines(spark, *[request(doc(f"d{i}", f"a w{i} b", i)) for i in range(20)]))
+    e.remove_documents(spark.createDataFrame([("m", pack_py(i), f"d{i}") for i in (3, 4)], "mailbox string, ts bigint, id string"))
+    e.index(lines(spark, request(doc("d4", "a z", 4), doc("d5", "a b", 5), doc("new", "b", 5))))
+    e.index(lines(spark, request(doc("d4", "z z", 4))))
+    own = sorted(map(str, e.store.read().collect()))
+    assert own == sorted(map(str, e.store.read(broadcast_rows=0).collect()))
+    assert own == sorted(map(str, e.store.read(sorted({r["term"] for r in e.store.stored().collect()})).collect()))
+    plan = e.store.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert "positions" not in e.store.read(columns=["mailbox", "term"])._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_a_dump_of_a_generation_sorts_nothing(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(shards=4))
+    e.index(lines(spark, *[request(doc(f"d{i}", f"a w{i} b", i)) for i in range(9)]))
+    rows = e.generation_dump()
+    assert shuffles(rows) == 0 and rows.count() == e.store.stored().count()
+    one = rows.first()["file"]
+    assert [r["place"] for r in e.page_dump(one).collect()] == list(range(rows.where(F.col("file") == one).count()))
